@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog as C
-from .spans import MULTILINE, PLAIN, SPAN_TYPE, no_spans, spans
+from .spans import MULTILINE, PLAIN, array_text, literal, rlike_text, spans_text
 
 N_ENTITY = len(C.ENTITY_PATTERNS)
 N_INJECTION = len(C.INJECTION_PATTERNS)
@@ -94,14 +94,18 @@ INJECTION_MASK = injection_bits(lambda p: True)
 TOXICITY_MASK = mask_of(TOXICITY_BIT + i for i in range(len(C.TOXICITY_PATTERNS)))
 
 
-def any_bit(evidence: Column, mask: int) -> Column:
-    return evidence.bitwiseAND(F.lit(mask).cast("bigint")) != F.lit(0).cast("bigint")
+def bit_test(mask: int, evidence: str = "evidence") -> str:
+    return f"({evidence} & {mask}L) != 0"
+
+
+def any_bit(mask: int, evidence: str = "evidence") -> Column:
+    return F.expr(bit_test(mask, evidence))
 
 
 # ------------------------------------------------------------------ prefilter
 def folded(text: Column) -> Column:
     """Lower-cased text in which every case variant of an ASCII letter is that letter."""
-    for variant, letter in (("ſ", "s"), ("ı", "i"), ("İ", "i"), ("K", "k")):
+    for variant, letter in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k")):
         text = F.replace(text, F.lit(variant), F.lit(letter))
     return F.lower(text)
 
@@ -117,39 +121,37 @@ def digit_level(text: Column) -> Column:
     )
 
 
-def _holds(hay: Column, groups) -> Column | None:
-    tests = [reduce(lambda a, b: a | b, [hay.contains(x) for x in g]) for g in groups]
-    return reduce(lambda a, b: a & b, tests) if tests else None
+def _holds(groups) -> list[str]:
+    return [
+        "(" + " OR ".join(f"contains(_hay, {literal(x)})" for x in group) + ")" for group in groups
+    ]
 
 
-def _tree(terms: list[Column]) -> Column:
-    """Balanced bitwise OR, so deep expressions do not nest one level per pattern."""
+def _any_of(terms: list[str]) -> str:
+    """Balanced bitwise OR, so the expression does not nest one level per pattern."""
     while len(terms) > 1:
         pairs = [terms[i:i + 2] for i in range(0, len(terms), 2)]
-        terms = [p[0].bitwiseOR(p[1]) if len(p) == 2 else p[0] for p in pairs]
+        terms = [f"({p[0]} | {p[1]})" if len(p) == 2 else p[0] for p in pairs]
     return terms[0]
 
 
-def _bit(position: int, guard: Column | None, test: Column) -> Column:
-    value, zero = F.lit(1 << position).cast("bigint"), F.lit(0).cast("bigint")
-    return F.when(test if guard is None else guard & test, value).otherwise(zero)
+def _bit(position: int, tests: list[str]) -> str:
+    return f"CASE WHEN {' AND '.join(tests)} THEN {1 << position}L ELSE 0L END"
 
 
-def evidence_mask(text: Column, hay: Column, digits: Column, length: Column) -> Column:
-    """The evidence mask, from the text and its prefilter columns."""
+def evidence_text(text: str) -> str:
+    """SQL text of the mask over a text column and its prefilter columns."""
     terms = []
     for i, ((_, _, regex), (level, groups)) in enumerate(zip(C.ENTITY_PATTERNS, _ENTITY_NEEDS)):
-        guard = _holds(hay, groups)
-        if level:
-            guard = (digits >= level) if guard is None else (digits >= level) & guard
-        terms.append(_bit(i, guard, text.rlike(MULTILINE + regex)))
+        guards = ([f"_digits >= {level}"] if level else []) + _holds(groups)
+        terms.append(_bit(i, [*guards, rlike_text(text, MULTILINE + regex)]))
     for i, (pattern, groups) in enumerate(zip(C.INJECTION_PATTERNS, _INJECTION_NEEDS)):
         # Only the hidden-character class has no literal: it needs non-ASCII bytes.
-        guard = _holds(hay, groups) if groups else F.octet_length(text) > length
-        terms.append(_bit(INJECTION_BIT + i, guard, text.rlike(MULTILINE + pattern[4])))
+        guards = _holds(groups) or [f"octet_length({text}) > _length"]
+        terms.append(_bit(INJECTION_BIT + i, [*guards, rlike_text(text, MULTILINE + pattern[4])]))
     for i, (regex, groups) in enumerate(zip(C.TOXICITY_PATTERNS, _TOXICITY_NEEDS)):
-        terms.append(_bit(TOXICITY_BIT + i, _holds(hay, groups), text.rlike(PLAIN + regex)))
-    return _tree(terms)
+        terms.append(_bit(TOXICITY_BIT + i, [*_holds(groups), rlike_text(text, PLAIN + regex)]))
+    return _any_of(terms)
 
 
 def with_evidence(df: DataFrame, text: str = "text", out: str = "evidence") -> DataFrame:
@@ -166,47 +168,42 @@ def with_evidence(df: DataFrame, text: str = "text", out: str = "evidence") -> D
         digit_level(t).alias("_digits"),
         F.length(t).alias("_length"),
     )
-    mask = evidence_mask(t, F.col("_hay"), F.col("_digits"), F.col("_length"))
-    return prepared.select(*keep, mask.alias(out))
+    return prepared.select(*keep, F.expr(evidence_text(f"`{text}`")).alias(out))
 
 
 # ------------------------------------------------------------------ hits
 HIT_TYPE = "array<struct<det:int,start:int,end:int,value:string>>"
 
 
-def hits(text: Column, evidence: Column) -> Column:
+def hits(text: str = "text", evidence: str = "evidence") -> Column:
     """All entity matches in detection order: ``array<struct<det,start,end,value>>``.
 
     Only patterns whose bit is set are extracted.  ``value`` is the raw match and
     is meant for masking, hashing or the vault, never for output.
     """
-    def of_pattern(i: int, regex: str) -> Column:
-        found = F.when(any_bit(evidence, 1 << i), spans(text, MULTILINE + regex)).otherwise(no_spans())
-        return F.transform(found, lambda s: F.struct(
-            F.lit(i).alias("det"), s["start"].alias("start"),
-            s["end"].alias("end"), s["value"].alias("value"),
-        ))
-
-    per_pattern = [of_pattern(i, regex) for i, (_, _, regex) in enumerate(C.ENTITY_PATTERNS)]
-    return F.when(any_bit(evidence, ENTITY_MASK), F.flatten(F.array(*per_pattern))).otherwise(
-        F.array().cast(HIT_TYPE)
+    per_pattern = ", ".join(
+        spans_text(f"`{text}`", MULTILINE + regex, {"det": i}, bit_test(1 << i, evidence))
+        for i, (_, _, regex) in enumerate(C.ENTITY_PATTERNS)
+    )
+    return F.expr(
+        f"CASE WHEN {bit_test(ENTITY_MASK, evidence)} THEN flatten(array({per_pattern})) "
+        f"ELSE CAST(array() AS {HIT_TYPE}) END"
     )
 
 
-def injection_counts(text: Column, evidence: Column) -> Column:
+def injection_counts(text: str = "text", evidence: str = "evidence") -> Column:
     """Number of matches per injection pattern (0 where the bit is clear)."""
-    return F.array(*[
-        F.when(
-            any_bit(evidence, 1 << (INJECTION_BIT + i)),
-            F.regexp_count(text, F.lit(MULTILINE + p[4])),
-        ).otherwise(0)
+    counts = ", ".join(
+        f"CASE WHEN {bit_test(1 << (INJECTION_BIT + i), evidence)} "
+        f"THEN regexp_count(`{text}`, {literal(MULTILINE + p[4])}) ELSE 0 END"
         for i, p in enumerate(C.INJECTION_PATTERNS)
-    ])
+    )
+    return F.expr(f"array({counts})")
 
 
 def lookup(values, index: Column) -> Column:
     """Constant table lookup by 0-based position."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index)
+    return F.get(F.expr(array_text(values)), index)
 
 
 def det_type(det: Column) -> Column:
@@ -227,11 +224,3 @@ def det_confidence(det: Column) -> Column:
 
 def det_explanation(det: Column) -> Column:
     return lookup(["Detected via " + d for _, d, _ in C.ENTITY_PATTERNS], det)
-
-
-__all__ = [
-    "ENTITY_MASK", "HIT_TYPE", "INJECTION_BIT", "INJECTION_MASK", "SPAN_TYPE", "TOXICITY_MASK",
-    "any_bit", "category_mask", "det_category", "det_confidence", "det_explanation", "det_label",
-    "det_type", "entity_bits", "evidence_mask", "hits", "injection_bits", "injection_counts",
-    "with_evidence",
-]

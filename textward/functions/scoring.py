@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from . import catalog as C
 from .detect import (
-    INJECTION_BIT, INJECTION_MASK, TOXICITY_MASK, any_bit, category_mask, entity_bits,
+    INJECTION_BIT, INJECTION_MASK, TOXICITY_MASK, any_bit, bit_test, category_mask, entity_bits,
     entity_confidence, injection_bits,
 )
+from .spans import literal
 
 CATEGORIES = ("pii", "phi", "pci", "secret")
 
@@ -31,29 +32,31 @@ def risk_levels() -> list[tuple[float, int]]:
     return sorted(levels.items(), reverse=True)
 
 
-def _first(evidence: Column, cases: list[tuple[int, object]], default) -> Column:
+def _first(evidence: str, cases: list[tuple[int, object]], default) -> Column:
     """CASE over masks: the value of the first mask that intersects the evidence."""
-    out = None
-    for mask, value in cases:
-        hit = any_bit(evidence, mask)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out.otherwise(F.lit(default))
+    whens = " ".join(f"WHEN {bit_test(mask, evidence)} THEN {literal(v)}" for mask, v in cases)
+    return F.expr(f"CASE {whens} ELSE {literal(default)} END")
 
 
-def risk_score(evidence: Column) -> Column:
+def _present(evidence: str, cases: list[tuple[int, str]]) -> Column:
+    """The texts whose mask intersects the evidence, in the given order."""
+    items = ", ".join(
+        f"CASE WHEN {bit_test(mask, evidence)} THEN {literal(v)} END" for mask, v in cases
+    )
+    return F.expr(f"array_compact(array({items}))")
+
+
+def risk_score(evidence: str = "evidence") -> Column:
     return _first(evidence, [(m, v) for v, m in risk_levels()], 0.0)
 
 
-def detected(evidence: Column, kind: str) -> Column:
+def detected(kind: str, evidence: str = "evidence") -> Column:
     """Flag for ``pii phi pci secret injection toxicity``."""
-    if kind == "injection":
-        return any_bit(evidence, INJECTION_MASK)
-    if kind == "toxicity":
-        return any_bit(evidence, TOXICITY_MASK)
-    return any_bit(evidence, category_mask(kind))
+    masks = {"injection": INJECTION_MASK, "toxicity": TOXICITY_MASK}
+    return any_bit(masks[kind] if kind in masks else category_mask(kind), evidence)
 
 
-def category_confidence(evidence: Column, kind: str) -> Column:
+def category_confidence(kind: str, evidence: str = "evidence") -> Column:
     """Highest confidence within a category, 0 when nothing was detected."""
     if kind == "toxicity":
         return _first(evidence, [(TOXICITY_MASK, C.TOXICITY_CONFIDENCE)], 0.0)
@@ -83,11 +86,11 @@ def _blocking_cases() -> list[tuple[int, str]]:
     return cases
 
 
-def block_reason(evidence: Column) -> Column:
-    return _first(evidence, _blocking_cases(), None).cast("string")
+def block_reason(evidence: str = "evidence") -> Column:
+    return _first(evidence, _blocking_cases(), None)
 
 
-def action(evidence: Column, pii_threshold: float = C.PII_THRESHOLD) -> Column:
+def action(evidence: str = "evidence", pii_threshold: float = C.PII_THRESHOLD) -> Column:
     """block, redact or allow."""
     blocking = 0
     for mask, _ in _blocking_cases():
@@ -102,7 +105,7 @@ def action(evidence: Column, pii_threshold: float = C.PII_THRESHOLD) -> Column:
     return _first(evidence, [(blocking, "block"), (personal | risky, "redact")], "allow")
 
 
-def triggered_labels(evidence: Column) -> Column:
+def triggered_labels(evidence: str = "evidence") -> Column:
     """Sorted distinct rule labels of everything detected."""
     labels: dict[str, int] = {}
     for i, (kind, _, _) in enumerate(C.ENTITY_PATTERNS):
@@ -111,34 +114,27 @@ def triggered_labels(evidence: Column) -> Column:
     for i, p in enumerate(C.INJECTION_PATTERNS):
         labels[f"INJECTION: {p[0]} [{p[1]}]"] = 1 << (INJECTION_BIT + i)
     labels["TOXICITY: harmful_content_detected"] = TOXICITY_MASK
-    return F.array_compact(F.array(*[
-        F.when(any_bit(evidence, mask), F.lit(text)) for text, mask in sorted(labels.items())
-    ]))
+    return _present(evidence, [(mask, text) for text, mask in sorted(labels.items())])
 
 
-def remediation(evidence: Column) -> Column:
+def remediation(evidence: str = "evidence") -> Column:
     steps = [(category_mask(c), C.CATEGORY_REMEDIATION[c]) for c in CATEGORIES]
     steps += [(1 << (INJECTION_BIT + i), p[3]) for i, p in enumerate(C.INJECTION_PATTERNS)]
-    return F.array_compact(F.array(*[F.when(any_bit(evidence, m), F.lit(s)) for m, s in steps]))
+    return _present(evidence, steps)
 
 
-def injection_names(evidence: Column) -> Column:
+def injection_names(evidence: str = "evidence") -> Column:
     """Names of the injection patterns found, in pattern order."""
-    return F.array_compact(F.array(*[
-        F.when(any_bit(evidence, 1 << (INJECTION_BIT + i)), F.lit(p[0]))
-        for i, p in enumerate(C.INJECTION_PATTERNS)
-    ]))
+    return _present(
+        evidence, [(1 << (INJECTION_BIT + i), p[0]) for i, p in enumerate(C.INJECTION_PATTERNS)]
+    )
 
 
-def entity_types(evidence: Column) -> Column:
+def entity_types(evidence: str = "evidence") -> Column:
     """Sorted distinct entity types found."""
     kinds = sorted({t for t, _, _ in C.ENTITY_PATTERNS})
-    return F.array_compact(F.array(*[
-        F.when(any_bit(evidence, entity_bits(lambda t, k=k: t == k)), F.lit(k)) for k in kinds
-    ]))
+    return _present(evidence, [(entity_bits(lambda t, k=k: t == k), k) for k in kinds])
 
 
-def data_categories(evidence: Column) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(any_bit(evidence, category_mask(c)), F.lit(c)) for c in CATEGORIES
-    ]))
+def data_categories(evidence: str = "evidence") -> Column:
+    return _present(evidence, [(category_mask(c), c) for c in CATEGORIES])

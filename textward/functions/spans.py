@@ -4,6 +4,10 @@
 so running lengths of gaps and matches give code-point offsets without a UDF.
 None of the catalogue's patterns can match the empty string, which is what
 makes the reconstruction valid.
+
+Expressions generated from the pattern tables are written as SQL text and
+parsed once by Spark; building them call by call from Python would take longer
+than many of the queries.
 """
 
 from __future__ import annotations
@@ -14,7 +18,26 @@ from pyspark.sql import functions as F
 # Unicode-aware flags: multi-line, dot-all and plain case-insensitive tables.
 MULTILINE, DOTALL, PLAIN = "(?imuU)", "(?isuU)", "(?iuU)"
 
-SPAN_TYPE = "array<struct<start:int,end:int,value:string>>"
+
+def literal(value) -> str:
+    """A Python value as Spark SQL text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def array_text(values) -> str:
+    return "array(" + ", ".join(literal(v) for v in values) + ")"
+
+
+def rlike_text(text: str, regex: str) -> str:
+    return f"{text} RLIKE {literal(regex)}"
 
 
 def let(value: Column, body) -> Column:
@@ -27,26 +50,24 @@ def matches(text: Column, regex: str) -> Column:
     return F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
 
-def spans(text: Column, regex: str) -> Column:
-    """``array<struct<start,end,value>>`` of all matches; 0-based, end-exclusive."""
-    pieces = F.arrays_zip(matches(text, regex).alias("m"), F.split(text, regex, -1).alias("g"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        begin = acc["pos"] + F.length(piece["g"])
-        end = begin + F.length(piece["m"])
-        hit = F.struct(begin.alias("start"), end.alias("end"), piece["m"].alias("value"))
-        return F.when(piece["m"].isNull(), acc).otherwise(
-            F.struct(end.alias("pos"), F.concat(acc["out"], F.array(hit)).alias("out"))
-        )
-
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
-
-
-def no_spans() -> Column:
-    return F.array().cast(SPAN_TYPE)
-
-
-def replace_each(text: Column, values: Column, token) -> Column:
-    """Replace every occurrence of each value in turn; ``token`` maps a value to its text."""
-    return F.aggregate(values, text, lambda acc, v: F.replace(acc, v, token(v)))
+def spans_text(text: str, regex: str, fields: dict | None = None, when: str | None = None) -> str:
+    """SQL text of ``array<struct<fields..,start,end,value>>`` over all matches of one pattern.
+
+    ``text`` is SQL text, ``fields`` are constant leading fields, and nothing is
+    extracted where ``when`` (default: the pattern occurs) does not hold.
+    Offsets are 0-based and end-exclusive.
+    """
+    fields = fields or {}
+    constant = "".join(f"{literal(k)}, {literal(v)}, " for k, v in fields.items())
+    types = {str: "string", int: "int", float: "double"}
+    head = "".join(f"{k}:{types[type(v)]}," for k, v in fields.items())
+    array_type = f"array<struct<{head}start:int,end:int,value:string>>"
+    begin = "acc.pos + length(z.`1`)"
+    end = f"{begin} + length(z.`0`)"
+    pattern = literal(regex)
+    return f"""CASE WHEN {when or rlike_text(text, regex)} THEN aggregate(
+      arrays_zip(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1)),
+      named_struct('pos', 0, 'out', CAST(array() AS {array_type})),
+      (acc, z) -> CASE WHEN z.`0` IS NULL THEN acc ELSE named_struct('pos', {end}, 'out', concat(acc.out,
+        array(named_struct({constant}'start', {begin}, 'end', {end}, 'value', z.`0`)))) END,
+      acc -> acc.out) ELSE CAST(array() AS {array_type}) END"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import catalog as C
 from .detect import HIT_TYPE, det_confidence, det_label, det_type
 from .masking import content_hash
+from .spans import array_text
 
 LABELS = sorted({C.ENTITY_TYPES[t][1] for t, _, _ in C.ENTITY_PATTERNS})
 RECORD_TYPE = "array<struct<token:string,det:int,start:int,end:int,value:string>>"
@@ -71,13 +72,13 @@ def redaction(text: Column, hits: Column, mode: str = "mask") -> Column:
     )))
     start = F.struct(
         F.length(text).alias("pos"), F.lit("").alias("tail"),
-        F.array(*[F.lit(0)] * len(LABELS)).alias("counts"),
+        F.array_repeat(F.lit(0), len(LABELS)).alias("counts"),
         F.array().cast(RECORD_TYPE).alias("records"),
     )
 
     def step(acc: Column, h: Column) -> Column:
         label = det_label(h["det"])
-        slot = F.array_position(F.array(*[F.lit(x) for x in LABELS]), label).cast("int") - 1
+        slot = F.array_position(F.expr(array_text(LABELS)), label).cast("int") - 1
         if mode == "hash":
             token = F.concat(F.lit("["), label, F.lit(":HASH:"), content_hash(h["value"], 12), F.lit("]"))
         else:

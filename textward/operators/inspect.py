@@ -9,6 +9,7 @@ from ..functions import catalog as C
 from ..functions import detect as D
 from ..functions import scoring as S
 from ..functions.masking import content_hash, mask_value
+from ..functions.spans import literal
 
 
 def is_blank(text: Column) -> Column:
@@ -17,14 +18,13 @@ def is_blank(text: Column) -> Column:
 
 def verdicts(df: DataFrame, text: str = "text", pii_threshold: float = C.PII_THRESHOLD) -> DataFrame:
     """Append risk score, action, block reason and detection flags; one map-side pass."""
-    ev = F.col("evidence")
     return D.with_evidence(df, text).select(
         *df.columns,
         "evidence",
-        S.risk_score(ev).alias("risk_score"),
-        S.action(ev, pii_threshold).alias("action"),
-        S.block_reason(ev).alias("block_reason"),
-        *[S.detected(ev, k).alias(f"{k}_detected") for k in (*S.CATEGORIES, "injection", "toxicity")],
+        S.risk_score().alias("risk_score"),
+        S.action(pii_threshold=pii_threshold).alias("action"),
+        S.block_reason().alias("block_reason"),
+        *[S.detected(k).alias(f"{k}_detected") for k in (*S.CATEGORIES, "injection", "toxicity")],
     )
 
 
@@ -35,7 +35,7 @@ def entity_rows(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     evaluate the match arrays twice.
     """
     found = D.with_evidence(df, text).select(
-        *keys, D.hits(F.col(text), F.col("evidence")).alias("hits")
+        *keys, D.hits(text).alias("hits")
     )
     rows = found.select(*keys, F.inline_outer("hits")).where(F.col("det").isNotNull())
     det = F.col("det")
@@ -53,37 +53,32 @@ def entity_rows(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     )
 
 
-def injection_attempts(evidence: Column, counts: Column) -> Column:
+def injection_attempts(counts: str, evidence: str = "evidence") -> Column:
     """``array<struct>`` of injection findings in pattern order."""
     items = []
     for i, (name, severity, explanation, remediation, _) in enumerate(C.INJECTION_PATTERNS):
-        n = F.get(counts, F.lit(i))
         confidence = C.UNICODE_CONFIDENCE if name == "unicode_attack" else C.INJECTION_CONFIDENCE
-        items.append(F.when(D.any_bit(evidence, 1 << (D.INJECTION_BIT + i)), F.struct(
-            F.lit(name).alias("attack_type"),
-            F.lit(severity).alias("severity"),
-            F.concat(F.lit(f"Pattern: {name} ("), n.cast("string"), F.lit(" match(es))")).alias("pattern_matched"),
-            F.lit("prompt").alias("location"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(explanation).alias("explanation"),
-            F.lit(remediation).alias("remediation"),
-            n.alias("match_count"),
-        )))
-    return F.array_compact(F.array(*items))
+        items.append(f"""CASE WHEN {D.bit_test(1 << (D.INJECTION_BIT + i), evidence)} THEN named_struct(
+          'attack_type', {literal(name)}, 'severity', {literal(severity)},
+          'pattern_matched', concat({literal(f"Pattern: {name} (")}, {counts}[{i}], ' match(es))'),
+          'location', 'prompt', 'confidence', {literal(confidence)},
+          'explanation', {literal(explanation)}, 'remediation', {literal(remediation)},
+          'match_count', {counts}[{i}]) END""")
+    return F.expr("array_compact(array(" + ", ".join(items) + "))")
 
 
 def injection_rows(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """One row per injection pattern found in a text."""
     found = D.with_evidence(df, text).select(
-        *keys, "evidence", D.injection_counts(F.col(text), F.col("evidence")).alias("counts")
+        *keys, "evidence", D.injection_counts(text).alias("counts")
     )
     attempts = found.select(
-        *keys, injection_attempts(F.col("evidence"), F.col("counts")).alias("attempts")
+        *keys, injection_attempts("counts").alias("attempts")
     )
     return attempts.select(*keys, F.inline_outer("attempts")).where(F.col("attack_type").isNotNull())
 
 
-def _summary(action: Column, risk: Column, n: dict[str, Column], injections: Column, ev: Column) -> Column:
+def _summary(action: Column, risk: Column, n: dict[str, Column], injections: Column) -> Column:
     parts = F.concat_ws(
         ", ",
         F.when(n["pii"] > 0, F.concat(F.lit("PII ("), n["pii"].cast("string"), F.lit(" entity/ies)"))),
@@ -92,13 +87,13 @@ def _summary(action: Column, risk: Column, n: dict[str, Column], injections: Col
         F.when(n["secret"] > 0, F.lit("SECRETS/CREDENTIALS")),
         F.when(injections > 0, F.concat(
             F.lit("INJECTION ATTEMPT ("), injections.cast("string"), F.lit(" pattern(s))"))),
-        F.when(S.detected(ev, "toxicity"), F.lit("TOXIC/HARMFUL CONTENT")),
+        F.when(S.detected("toxicity"), F.lit("TOXIC/HARMFUL CONTENT")),
     )
     return F.concat(
         F.lit("Scan completed. Action: "), F.upper(action), F.lit(". "),
         F.when(parts == "", F.lit("No threats detected. "))
         .otherwise(F.concat(F.lit("Detected: "), parts, F.lit(". "))),
-        F.format_string("Overall risk score: %.2f%%.", risk * 100),
+        F.format_string("Overall risk score: %.2f%%.", F.bround(risk * 100, 2)),
     )
 
 
@@ -107,10 +102,10 @@ def inspect(
     pii_threshold: float = C.PII_THRESHOLD,
 ) -> DataFrame:
     """The full inspection result per row; raw matched values do not appear in it."""
-    t, ev = F.col(text), F.col("evidence")
+    t = F.col(text)
     found = D.with_evidence(df, text).select(
         *df.columns, "evidence",
-        D.hits(t, ev).alias("_hits"), D.injection_counts(t, ev).alias("_counts"),
+        D.hits(text).alias("_hits"), D.injection_counts(text).alias("_counts"),
     )
     entities = F.transform(F.col("_hits"), lambda h: F.struct(
         h["det"].alias("det_idx"),
@@ -125,9 +120,9 @@ def inspect(
     staged = found.select(
         *df.columns, "evidence",
         entities.alias("entities"),
-        injection_attempts(ev, F.col("_counts")).alias("injections"),
-        S.risk_score(ev).alias("overall_risk_score"),
-        S.action(ev, pii_threshold).alias("action"),
+        injection_attempts("_counts").alias("injections"),
+        S.risk_score().alias("overall_risk_score"),
+        S.action(pii_threshold=pii_threshold).alias("action"),
     )
     categories = F.transform("entities", lambda e: e["category"])
     n = {c: F.size(categories) - F.size(F.array_remove(categories, c)) for c in S.CATEGORIES}
@@ -138,17 +133,17 @@ def inspect(
         F.lit(content_type).alias("content_type"),
         "entities",
         "injections",
-        *[S.detected(ev, k).alias(f"{k}_detected") for k in (*S.CATEGORIES, "injection", "toxicity")],
+        *[S.detected(k).alias(f"{k}_detected") for k in (*S.CATEGORIES, "injection", "toxicity")],
         "overall_risk_score",
         F.create_map(*[
             x for k in (*S.CATEGORIES, "injection", "toxicity")
-            for x in (F.lit("secrets" if k == "secret" else k), S.category_confidence(ev, k))
+            for x in (F.lit("secrets" if k == "secret" else k), S.category_confidence(k))
         ]).alias("confidence_scores"),
         F.when(blank, F.lit(C.EMPTY_SUMMARY)).otherwise(_summary(
-            F.col("action"), F.col("overall_risk_score"), n, F.size("injections"), ev,
+            F.col("action"), F.col("overall_risk_score"), n, F.size("injections"),
         )).alias("explanation_summary"),
-        S.triggered_labels(ev).alias("triggered_rules"),
-        S.remediation(ev).alias("remediation_recommendations"),
+        S.triggered_labels().alias("triggered_rules"),
+        S.remediation().alias("remediation_recommendations"),
         "action",
-        S.block_reason(ev).alias("block_reason"),
+        S.block_reason().alias("block_reason"),
     )

@@ -20,7 +20,7 @@ def _redacted(df: DataFrame, text: str, mode: str, overlaps: str) -> DataFrame:
         raise ValueError("overlaps must be 'splice' or 'merge'")
     t = F.col(text)
     found = D.with_evidence(df, text).select(
-        *df.columns, "evidence", D.hits(t, F.col("evidence")).alias("_hits")
+        *df.columns, "evidence", D.hits(text).alias("_hits")
     )
     hits = F.col("_hits") if overlaps == "splice" else merged(F.col("_hits"), t)
     return found.select(*df.columns, "evidence", hits.alias("_hits")).select(
@@ -132,7 +132,7 @@ def preview(df: DataFrame, text: str = "text", chars: int = 2000) -> DataFrame:
     t = F.col(text)
     head = F.left(t, F.lit(chars))
     found = D.with_evidence(df, text).select(
-        *df.columns, "evidence", D.hits(t, F.col("evidence")).alias("_hits")
+        *df.columns, "evidence", D.hits(text).alias("_hits")
     )
     visible = F.filter("_hits", lambda h: h["start"] < chars)
     staged = found.select(*df.columns, "evidence", visible.alias("_hits"), (F.size("_hits") > 0).alias("_any"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
-from ..functions.spans import DOTALL, MULTILINE, PLAIN, let, matches, spans
+from ..functions.spans import DOTALL, MULTILINE, PLAIN, let, matches, rlike_text, spans_text
 
 
 def first_match(text: Column, table, flags: str) -> Column:
@@ -68,32 +68,32 @@ def argument_threats(arguments: Column) -> Column:
     ]))
 
 
-def poisoning_threats(text: Column) -> Column:
+def poisoning_threats(text: str) -> Column:
     """``array<struct<threat_type,severity,count,payload_snippet,positions>>``.
 
     The two patterns with a lazy gap are guarded by the literals they end with,
     so a long text without them is not scanned from every possible start.
     """
     guards = {
-        "HTML Comment Injection": text.contains("<!--") & text.contains("-->"),
-        "XML Tag Injection": text.contains("<"),
-        "Exfiltration URL": text.contains("://") & text.contains("="),
+        "HTML Comment Injection": f"contains(`{text}`, '<!--') AND contains(`{text}`, '-->')",
+        "XML Tag Injection": f"contains(`{text}`, '<')",
+        "Exfiltration URL": f"contains(`{text}`, '://') AND contains(`{text}`, '=')",
     }
 
     def of_pattern(name: str, severity: str, regex: str) -> Column:
         pattern = DOTALL + regex
-        test = text.rlike(pattern)
+        test = rlike_text(f"`{text}`", pattern)
         if name in guards:
-            test = guards[name] & test
-        threat = let(spans(text, pattern), lambda s: F.struct(
+            test = guards[name] + " AND " + test
+        found = F.expr(spans_text(f"`{text}`", pattern, when=test))
+        return let(found, lambda s: F.when(F.size(s) > 0, F.struct(
             F.lit(name).alias("threat_type"),
             F.lit(severity).alias("severity"),
             F.size(s).alias("count"),
             F.left(F.get(s, F.lit(0))["value"], F.lit(100)).alias("payload_snippet"),
             F.transform(F.slice(s, 1, 3), lambda m: F.struct(
                 m["start"].alias("start"), m["end"].alias("end"))).alias("positions"),
-        ))
-        return F.when(test, threat)
+        )))
 
     return F.array_compact(F.array(*[of_pattern(*p) for p in C.POISONING_PATTERNS]))
 
@@ -110,7 +110,7 @@ def poisoning_scan(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
         F.lit(0.0),
     )
     names = F.array_join(F.transform(F.slice(threats, 1, 3), lambda t: t["threat_type"]), ", ")
-    scanned = df.select(*keys, poisoning_threats(F.col(text)).alias("threats"))
+    scanned = df.select(*keys, poisoning_threats(text).alias("threats"))
     return scanned.select(
         *keys,
         "threats",
@@ -142,19 +142,10 @@ def query_risk(query: Column) -> Column:
 def file_profile(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """The file-scanner profile: its own eight patterns, five injections and redaction."""
     t = F.col(text)
-
-    def of_pattern(label: str, kind: str, severity: str, regex: str) -> Column:
-        found = F.transform(spans(t, PLAIN + regex), lambda s: F.struct(
-            F.lit(label).alias("label"), F.lit(kind).alias("type"),
-            F.lit(severity).alias("severity"), s["value"].alias("value"),
-            s["start"].alias("start"), s["end"].alias("end"),
-        ))
-        none = F.array().cast(
-            "array<struct<label:string,type:string,severity:string,value:string,start:int,end:int>>"
-        )
-        return F.when(t.rlike(PLAIN + regex), found).otherwise(none)
-
-    found = F.flatten(F.array(*[of_pattern(*p) for p in C.FILE_PROFILE]))
+    found = F.expr("flatten(array(" + ", ".join(
+        spans_text(f"`{text}`", PLAIN + regex, {"label": label, "type": kind, "severity": severity})
+        for label, kind, severity, regex in C.FILE_PROFILE
+    ) + "))")
     injections = F.array_compact(F.array(*[
         F.when(t.rlike(PLAIN + regex), F.lit(name)) for name, regex in C.FILE_PROFILE_INJECTIONS
     ]))

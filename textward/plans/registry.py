@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..sources.tables import plain_integers
-from . import texts
+from . import policies, texts
 
-MODULES = (texts,)
+MODULES = (texts, policies)
 
 
 def _widened(fn: Callable) -> Callable:

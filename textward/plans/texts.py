@@ -65,10 +65,9 @@ def injection_attempts(spark, sf):
 
 @query(O.INSPECTED + "SELECT doc_id, toxic, CASE WHEN toxic THEN 0.9 ELSE 0 END::DOUBLE AS confidence FROM s")
 def toxicity_flags(spark, sf):
-    ev = F.col("evidence")
     return D.with_evidence(N.documents(spark, sf)).select(
-        "doc_id", S.detected(ev, "toxicity").alias("toxic"),
-        S.category_confidence(ev, "toxicity").alias("confidence"))
+        "doc_id", S.detected("toxicity").alias("toxic"),
+        S.category_confidence("toxicity").alias("confidence"))
 
 
 @query(f"""WITH {O.DOCUMENTS}
@@ -289,14 +288,13 @@ SELECT s.doc_id, action, risk_score,
   CASE WHEN n_entities > 0 THEN sha256(r.redacted_text) END AS preview_hash
 FROM s LEFT JOIN r USING (doc_id)""")
 def file_scan_summaries(spark, sf):
-    ev = F.col("evidence")
     parts = F.concat_ws(", ", *[
-        F.when(S.detected(ev, k), F.lit(text)) for k, text in (
+        F.when(S.detected(k), F.lit(text)) for k, text in (
             ("pii", "PII"), ("phi", "PHI"), ("pci", "PCI data"), ("secret", "credentials/secrets"),
             ("injection", "injection attempts"))])
     return R.preview(N.documents(spark, sf)).select(
-        "doc_id", S.action(ev).alias("action"), S.risk_score(ev).alias("risk_score"),
-        F.concat(F.format_string("File scan complete. Risk: %.1f%%. ", S.risk_score(ev) * 100),
+        "doc_id", S.action().alias("action"), S.risk_score().alias("risk_score"),
+        F.concat(F.format_string("File scan complete. Risk: %.1f%%. ", F.bround(S.risk_score() * 100, 1)),
                  F.when(parts == "", F.lit("No threats detected."))
                  .otherwise(F.concat(F.lit("Detected: "), parts, F.lit(".")))).alias("summary"),
         content_hash(F.col("redacted_preview")).alias("preview_hash"))
