@@ -154,6 +154,18 @@ def evidence_text(text: str) -> str:
     return _any_of(terms)
 
 
+def once(value: Column) -> Column:
+    """Keep an expensive column from being substituted into filters and projections above it.
+
+    Catalyst pushes a filter on a derived column below the projection by copying
+    the column's expression into it, once per reference.  A condition on the
+    partition id is always true but not deterministic, so the projection stays a
+    barrier and the value is computed once per row.  Filters on plain columns
+    belong before the detectors for the same reason.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def with_evidence(df: DataFrame, text: str = "text", out: str = "evidence") -> DataFrame:
     """Append the evidence mask of ``text``.
 
@@ -168,7 +180,7 @@ def with_evidence(df: DataFrame, text: str = "text", out: str = "evidence") -> D
         digit_level(t).alias("_digits"),
         F.length(t).alias("_length"),
     )
-    return prepared.select(*keep, F.expr(evidence_text(f"`{text}`")).alias(out))
+    return prepared.select(*keep, once(F.expr(evidence_text(f"`{text}`"))).alias(out))
 
 
 # ------------------------------------------------------------------ hits
@@ -185,10 +197,10 @@ def hits(text: str = "text", evidence: str = "evidence") -> Column:
         spans_text(f"`{text}`", MULTILINE + regex, {"det": i}, bit_test(1 << i, evidence))
         for i, (_, _, regex) in enumerate(C.ENTITY_PATTERNS)
     )
-    return F.expr(
+    return once(F.expr(
         f"CASE WHEN {bit_test(ENTITY_MASK, evidence)} THEN flatten(array({per_pattern})) "
         f"ELSE CAST(array() AS {HIT_TYPE}) END"
-    )
+    ))
 
 
 def injection_counts(text: str = "text", evidence: str = "evidence") -> Column:

@@ -50,6 +50,11 @@ def risk_score(evidence: str = "evidence") -> Column:
     return _first(evidence, [(m, v) for v, m in risk_levels()], 0.0)
 
 
+def risk_text(spec: str, evidence: str = "evidence") -> Column:
+    """The risk score as text; every reachable value is formatted once, here."""
+    return _first(evidence, [(m, format(v, spec)) for v, m in risk_levels()], format(0.0, spec))
+
+
 def detected(kind: str, evidence: str = "evidence") -> Column:
     """Flag for ``pii phi pci secret injection toxicity``."""
     masks = {"injection": INJECTION_MASK, "toxicity": TOXICITY_MASK}

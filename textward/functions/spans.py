@@ -71,3 +71,8 @@ def spans_text(text: str, regex: str, fields: dict | None = None, when: str | No
       (acc, z) -> CASE WHEN z.`0` IS NULL THEN acc ELSE named_struct('pos', {end}, 'out', concat(acc.out,
         array(named_struct({constant}'start', {begin}, 'end', {end}, 'value', z.`0`)))) END,
       acc -> acc.out) ELSE CAST(array() AS {array_type}) END"""
+
+
+def replace_each(text: Column, values: Column, token: str) -> Column:
+    """Replace every occurrence of each value in turn by the token."""
+    return F.aggregate(values, text, lambda acc, v: F.replace(acc, v, F.lit(token)))

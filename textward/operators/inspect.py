@@ -78,7 +78,7 @@ def injection_rows(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return attempts.select(*keys, F.inline_outer("attempts")).where(F.col("attack_type").isNotNull())
 
 
-def _summary(action: Column, risk: Column, n: dict[str, Column], injections: Column) -> Column:
+def _summary(action: Column, n: dict[str, Column], injections: Column) -> Column:
     parts = F.concat_ws(
         ", ",
         F.when(n["pii"] > 0, F.concat(F.lit("PII ("), n["pii"].cast("string"), F.lit(" entity/ies)"))),
@@ -93,7 +93,7 @@ def _summary(action: Column, risk: Column, n: dict[str, Column], injections: Col
         F.lit("Scan completed. Action: "), F.upper(action), F.lit(". "),
         F.when(parts == "", F.lit("No threats detected. "))
         .otherwise(F.concat(F.lit("Detected: "), parts, F.lit(". "))),
-        F.format_string("Overall risk score: %.2f%%.", F.bround(risk * 100, 2)),
+        F.lit("Overall risk score: "), S.risk_text(".2%"), F.lit("."),
     )
 
 
@@ -140,7 +140,7 @@ def inspect(
             for x in (F.lit("secrets" if k == "secret" else k), S.category_confidence(k))
         ]).alias("confidence_scores"),
         F.when(blank, F.lit(C.EMPTY_SUMMARY)).otherwise(_summary(
-            F.col("action"), F.col("overall_risk_score"), n, F.size("injections"),
+            F.col("action"), n, F.size("injections"),
         )).alias("explanation_summary"),
         S.triggered_labels().alias("triggered_rules"),
         S.remediation().alias("remediation_recommendations"),

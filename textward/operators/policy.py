@@ -150,7 +150,7 @@ def text_features(
         checks.append(f"CASE WHEN {test} THEN {number} END")
     found = f"array_compact(array({', '.join(checks)}))" if checks else "CAST(array() AS array<int>)"
     return staged.select(
-        *keep, "evidence", S.risk_score().alias("risk_score"), F.expr(found).alias("text_tests"))
+        *keep, "evidence", S.risk_score().alias("risk_score"), D.once(F.expr(found)).alias("text_tests"))
 
 
 def with_context(df: DataFrame, region: str | None = None) -> DataFrame:

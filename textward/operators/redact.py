@@ -25,7 +25,7 @@ def _redacted(df: DataFrame, text: str, mode: str, overlaps: str) -> DataFrame:
     hits = F.col("_hits") if overlaps == "splice" else merged(F.col("_hits"), t)
     return found.select(*df.columns, "evidence", hits.alias("_hits")).select(
         *df.columns, "evidence",
-        redaction(t, F.col("_hits"), "hash" if mode == "hash" else "mask").alias("_red"),
+        D.once(redaction(t, F.col("_hits"), "hash" if mode == "hash" else "mask")).alias("_red"),
     )
 
 

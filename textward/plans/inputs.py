@@ -38,12 +38,12 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 def audit_events(spark: SparkSession, sf: str) -> DataFrame:
     """Audit events from the event log: action, risk, tenant, policy per event."""
     e = table(spark, sf, "events")
-    risk = F.least(F.col("value") / 200, F.lit(1.0))
+    risk = F.least(F.floor("value") / 200, F.lit(1.0))
     return e.select(
         "event_id", "ts", "user_id", "event_type",
         F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("tenant_id"),
         action_of(F.col("event_type")).alias("action"),
-        F.round(risk, 4).alias("risk_score"),
+        risk.alias("risk_score"),
         risk_level(risk).alias("risk_level"),
         F.when(F.col("event_type").isin("error", "purchase"), F.element_at(
             F.array(*[F.lit(p) for p in ("hipaa_v1", "gdpr_v1", "pci_dss_v1")]),

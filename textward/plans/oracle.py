@@ -34,9 +34,9 @@ AUDIT = """a AS (
   SELECT event_id, ts, user_id, event_type, 't' || (user_id % 5) AS tenant_id,
          CASE event_type WHEN 'error' THEN 'block' WHEN 'purchase' THEN 'redact'
               WHEN 'view' THEN 'alert' ELSE 'allow' END AS action,
-         round(least(value / 200, 1.0::DOUBLE), 4) AS risk_score,
-         CASE WHEN least(value / 200, 1) >= 0.9 THEN 'critical' WHEN least(value / 200, 1) >= 0.7 THEN 'high'
-              WHEN least(value / 200, 1) >= 0.4 THEN 'medium' WHEN least(value / 200, 1) >= 0.1 THEN 'low'
+         least(floor(value) / 200, 1.0::DOUBLE) AS risk_score,
+         CASE WHEN least(floor(value) / 200, 1.0::DOUBLE) >= 0.9 THEN 'critical' WHEN least(floor(value) / 200, 1.0::DOUBLE) >= 0.7 THEN 'high'
+              WHEN least(floor(value) / 200, 1.0::DOUBLE) >= 0.4 THEN 'medium' WHEN least(floor(value) / 200, 1.0::DOUBLE) >= 0.1 THEN 'low'
               ELSE 'none' END AS risk_level,
          CASE WHEN event_type IN ('error', 'purchase')
               THEN (['hipaa_v1', 'gdpr_v1', 'pci_dss_v1'])[event_id % 3 + 1] END AS policy_id,

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..sources.tables import plain_integers
-from . import policies, texts
+from . import conversations, policies, texts
 
-MODULES = (texts, policies)
+MODULES = (texts, policies, conversations)
 
 
 def _widened(fn: Callable) -> Callable:

@@ -294,7 +294,7 @@ def file_scan_summaries(spark, sf):
             ("injection", "injection attempts"))])
     return R.preview(N.documents(spark, sf)).select(
         "doc_id", S.action().alias("action"), S.risk_score().alias("risk_score"),
-        F.concat(F.format_string("File scan complete. Risk: %.1f%%. ", F.bround(S.risk_score() * 100, 1)),
+        F.concat(F.lit("File scan complete. Risk: "), S.risk_text(".1%"), F.lit(". "),
                  F.when(parts == "", F.lit("No threats detected."))
                  .otherwise(F.concat(F.lit("Detected: "), parts, F.lit(".")))).alias("summary"),
         content_hash(F.col("redacted_preview")).alias("preview_hash"))
