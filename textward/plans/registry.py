@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..sources.tables import plain_integers
-from . import conversations, policies, texts
+from . import access, conversations, policies, texts
 
-MODULES = (texts, policies, conversations)
+MODULES = (texts, policies, conversations, access)
 
 
 def _widened(fn: Callable) -> Callable:
