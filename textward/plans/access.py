@@ -258,7 +258,7 @@ lf AS (
   UNION ALL
   SELECT ob.agent_id, ob.n, len(kept) >= {_LIMIT},
     CASE WHEN len(kept) < {_LIMIT} AND ob.base <> 'deny' THEN list_append(kept, epoch_us(ob.ts)) ELSE kept END
-  FROM (SELECT lf.agent_id, lf.n, list_filter(lf.recent, lambda x: epoch_us(ob.ts) - x < {_WINDOW} * 1000000) AS kept
+  FROM (SELECT lf.agent_id, lf.n, list_filter(lf.recent, lambda x: epoch_us(ob.ts) - x < {_WINDOW}000000::BIGINT) AS kept
         FROM lf JOIN ob ON ob.agent_id = lf.agent_id AND ob.n = lf.n + 1) k JOIN ob ON ob.agent_id = k.agent_id AND ob.n = k.n + 1),
 fd AS (SELECT ob.*, limited AND active AS hit FROM ob JOIN lf USING (agent_id, n)),
 final AS (SELECT *, CASE WHEN hit THEN 'deny' ELSE base END AS decision, CASE WHEN hit THEN 'medium' ELSE base_risk END AS risk_level,

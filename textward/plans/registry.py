@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..sources.tables import plain_integers
-from . import access, conversations, policies, texts
+from . import access, conversations, observability, policies, streams, texts
 
-MODULES = (texts, policies, conversations, access)
+MODULES = (texts, policies, conversations, access, observability, streams)
 
 
 def _widened(fn: Callable) -> Callable:
