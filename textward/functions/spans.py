@@ -76,3 +76,75 @@ def spans_text(text: str, regex: str, fields: dict | None = None, when: str | No
 def replace_each(text: Column, values: Column, token: str) -> Column:
     """Replace every occurrence of each value in turn by the token."""
     return F.aggregate(values, text, lambda acc, v: F.replace(acc, v, F.lit(token)))
+
+
+# ------------------------------------------------------------------ prefilters
+def _split_top(regex: str) -> tuple[list[str], int]:
+    """Alternatives of a pattern up to its end or an unmatched ``)``, and that position."""
+    parts, start, depth, i = [], 0, 0, 0
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i += 2 if regex[i + 1] in "^]" else 1
+            while regex[i] != "]":
+                i += 2 if regex[i] == "\\" else 1
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            if depth == 0:
+                break
+            depth -= 1
+        elif c == "|" and depth == 0:
+            parts.append(regex[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, regex[start:i]], i
+
+
+def leading_literals(regex: str) -> tuple[str, ...] | None:
+    """Literals of which any match must begin with one, or None where there is no such set."""
+    found: list[str] = []
+    for part in _split_top(regex)[0]:
+        part = part.removeprefix(r"\b")
+        group = 3 if part.startswith("(?:") else 1 if part.startswith("(") and not part.startswith("(?") else 0
+        if group:
+            _, end = _split_top(part[group:])
+            if part[group + end + 1:group + end + 2] in ("?", "*", "{"):
+                return None
+            inner = leading_literals(part[group:group + end])
+            if inner is None:
+                return None
+            found += inner
+            continue
+        run, i = "", 0
+        while i < len(part):
+            c, width = part[i], 1
+            if c == "\\" and i + 1 < len(part) and not part[i + 1].isalnum():
+                c, width = part[i + 1], 2
+            elif c in "\\.^$*+?{}[]|()":
+                break
+            if part[i + width:i + width + 1] in ("?", "*", "{"):
+                break
+            run, i = run + c, i + width
+        if not run:
+            return None
+        found.append(run)
+    return tuple(dict.fromkeys(found))
+
+
+def guarded_rlike(text: str, regex: str, flags: str, folded: str | None = None) -> str:
+    """SQL text of a regex test behind a byte search for its leading literals.
+
+    Case-insensitive patterns need the ``folded`` text column; without one, or
+    without leading literals, the regular expression runs unguarded.
+    """
+    test = rlike_text(text, flags + regex)
+    literals = leading_literals(regex)
+    insensitive = "i" in flags
+    hay = folded if insensitive else text
+    if literals is None or hay is None:
+        return test
+    found = " OR ".join(f"contains({hay}, {literal(x.lower() if insensitive else x)})" for x in literals)
+    return f"(({found}) AND {test})"

@@ -25,7 +25,7 @@ from ..functions.rulebook import (
     DEFAULT_REMEDIATION, ENTITY_ALIASES, ENTITY_CONFIDENCE, FIELD_CONFIDENCE, KEYWORD_CONFIDENCE, POLICIES,
     SEVERITY_RANK,
 )
-from ..functions.spans import array_text, literal, rlike_text
+from ..functions.spans import array_text, guarded_rlike, literal
 
 
 class Rule(NamedTuple):
@@ -146,7 +146,7 @@ def text_features(
         if kind == "keywords":
             test = " OR ".join(f"contains(_lower, {literal(v.lower())})" for v in values)
         else:
-            test = " OR ".join(rlike_text("_text", flags + v) for v in values)
+            test = " OR ".join(guarded_rlike("_text", v, flags) for v in values)
         checks.append(f"CASE WHEN {test} THEN {number} END")
     found = f"array_compact(array({', '.join(checks)}))" if checks else "CAST(array() AS array<int>)"
     return staged.select(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
-from ..functions.spans import DOTALL, MULTILINE, PLAIN, let, matches, rlike_text, spans_text
+from ..functions.detect import digit_level, folded, once
+from ..functions.spans import DOTALL, MULTILINE, PLAIN, guarded_rlike, let, literal, matches, spans_text
 
 
 def first_match(text: Column, table, flags: str) -> Column:
@@ -68,23 +69,22 @@ def argument_threats(arguments: Column) -> Column:
     ]))
 
 
-def poisoning_threats(text: str) -> Column:
+def poisoning_threats(text: str, folded: str = "_hay") -> Column:
     """``array<struct<threat_type,severity,count,payload_snippet,positions>>``.
 
-    The two patterns with a lazy gap are guarded by the literals they end with,
-    so a long text without them is not scanned from every possible start.
+    Each pattern runs only where its leading literal occurs; the two with a lazy
+    gap also need the literal they end with, so a long text without it is not
+    scanned from every possible start.
     """
     guards = {
-        "HTML Comment Injection": f"contains(`{text}`, '<!--') AND contains(`{text}`, '-->')",
-        "XML Tag Injection": f"contains(`{text}`, '<')",
-        "Exfiltration URL": f"contains(`{text}`, '://') AND contains(`{text}`, '=')",
+        "HTML Comment Injection": f"contains(`{text}`, '-->') AND ",
+        "Exfiltration URL": f"contains(`{text}`, '=') AND ",
+        "Zero-Width Characters": f"octet_length(`{text}`) > length(`{text}`) AND ",
     }
 
     def of_pattern(name: str, severity: str, regex: str) -> Column:
         pattern = DOTALL + regex
-        test = rlike_text(f"`{text}`", pattern)
-        if name in guards:
-            test = guards[name] + " AND " + test
+        test = guards.get(name, "") + guarded_rlike(f"`{text}`", regex, DOTALL, folded)
         found = F.expr(spans_text(f"`{text}`", pattern, when=test))
         return let(found, lambda s: F.when(F.size(s) > 0, F.struct(
             F.lit(name).alias("threat_type"),
@@ -110,7 +110,8 @@ def poisoning_scan(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
         F.lit(0.0),
     )
     names = F.array_join(F.transform(F.slice(threats, 1, 3), lambda t: t["threat_type"]), ", ")
-    scanned = df.select(*keys, poisoning_threats(text).alias("threats"))
+    prepared = df.select(*keys, text, folded(F.col(text)).alias("_hay"))
+    scanned = prepared.select(*keys, once(poisoning_threats(text)).alias("threats"))
     return scanned.select(
         *keys,
         "threats",
@@ -142,14 +143,27 @@ def query_risk(query: Column) -> Column:
 def file_profile(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """The file-scanner profile: its own eight patterns, five injections and redaction."""
     t = F.col(text)
+    prepared = df.select(*keys, text, folded(t).alias("_hay"), digit_level(t).alias("_digits"))
+    # What a match needs besides its leading literals: a digit level or a character.
+    needs = {
+        "SSN": "_digits >= 2", "Credit Card": "_digits >= 4", "Phone": "_digits >= 2", "IP Address": "_digits >= 1",
+        "MRN": "_digits >= 2", "Bank Account": "_digits >= 2", "Email": "contains(_hay, '@')",
+    }
+
+    def when(label: str, regex: str) -> str:
+        test = guarded_rlike(f"`{text}`", regex, PLAIN, "_hay")
+        return f"{needs[label]} AND {test}" if label in needs else test
+
     found = F.expr("flatten(array(" + ", ".join(
-        spans_text(f"`{text}`", PLAIN + regex, {"label": label, "type": kind, "severity": severity})
+        spans_text(f"`{text}`", PLAIN + regex, {"label": label, "type": kind, "severity": severity}, when(label, regex))
         for label, kind, severity, regex in C.FILE_PROFILE
     ) + "))")
-    injections = F.array_compact(F.array(*[
-        F.when(t.rlike(PLAIN + regex), F.lit(name)) for name, regex in C.FILE_PROFILE_INJECTIONS
-    ]))
-    staged = df.select(*keys, t.alias("_text"), found.alias("entities"), injections.alias("injections"))
+    injections = F.expr("array_compact(array(" + ", ".join(
+        f"CASE WHEN {guarded_rlike(f'`{text}`', regex, PLAIN, '_hay')} THEN {literal(name)} END"
+        for name, regex in C.FILE_PROFILE_INJECTIONS
+    ) + "))")
+    staged = prepared.select(
+        *keys, t.alias("_text"), once(found).alias("entities"), once(injections).alias("injections"))
     entities = F.col("entities")
     severity_risk = F.create_map(*[F.lit(x) for kv in C.PROFILE_RISK.items() for x in kv])
     risk = F.greatest(

@@ -193,13 +193,14 @@ def inspection_results(spark, sf):
 
 
 @query(O.INSPECTED + """
-SELECT s.source, action, count(*) AS n_docs, max(risk_score) AS max_risk, round(avg(risk_score), 4) AS avg_risk
+SELECT s.source, action, count(*) AS n_docs, max(risk_score) AS max_risk,
+  sum(round(risk_score * 10000)::BIGINT)::DOUBLE / count(*) / 10000 AS avg_risk
 FROM (SELECT s.*, d.source FROM s JOIN d USING (doc_id)) s GROUP BY ALL""")
 def actions_by_source(spark, sf):
     v = I.verdicts(N.documents(spark, sf))
     return v.groupBy("source", "action").agg(
         F.count("*").alias("n_docs"), F.max("risk_score").alias("max_risk"),
-        F.round(F.avg("risk_score"), 4).alias("avg_risk"))
+        (F.sum(F.round(F.col("risk_score") * 10000).cast("bigint")) / F.count("*") / 10000).alias("avg_risk"))
 
 
 @query(O.INSPECTED + """

@@ -53,6 +53,12 @@ def _schema_two(raw: dict) -> list[dict]:
     } for i, r in enumerate(raw["rules"])]
 
 
+def _texts(row: dict) -> dict:
+    """YAML reads bare words such as ``off`` or ``1.0`` as other types; text columns stay text."""
+    other = {"schema_version", "rule_ord", "enabled", "active"}
+    return {k: v if v is None or k in other else str(v) for k, v in row.items()}
+
+
 def parse_policy(text: str, engine_only: bool = False) -> list[dict]:
     """Rule rows of one file; a file with any defect is rejected as a whole."""
     import yaml  # only where policy files are read
@@ -78,10 +84,10 @@ def read_policies(spark: SparkSession, path: str, engine_only: bool = False) ->
             rows = []
             for file, text in zip(batch["file"], batch["text"]):
                 try:
-                    rows += [{"file": file, "error": None, **r} for r in parse_policy(text, engine_only)]
+                    rows += [{"file": file, "error": None, **_texts(r)} for r in parse_policy(text, engine_only)]
                 except Exception as exc:  # a bad file is reported, not fatal
                     rows.append({"file": file, "error": str(exc) or type(exc).__name__})
-            yield pd.DataFrame(rows, columns=_COLUMNS).astype(object).where(lambda d: d.notna(), None)
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _COLUMNS})
 
     parsed = sources.mapInPandas(parse, ROW)
     winner = parsed.where("error IS NULL").groupBy("policy_id").agg(F.max("file").alias("file"))
