@@ -160,6 +160,16 @@ def counter(events: DataFrame, *labels: str) -> DataFrame:
     return events.groupBy(*labels).agg(F.count("*").alias("total"))
 
 
+def scan_metrics(scans: DataFrame) -> DataFrame:
+    """Request, decision and per-tenant counters of scans from one aggregation."""
+    grouped = scans.groupingSets(
+        [["tenant_id", "action", "endpoint"], ["action", "risk_level", "tenant_id"], ["tenant_id"]],
+        "tenant_id", "action", "endpoint", "risk_level",
+    ).agg(F.count("*").alias("total"), F.max("risk_score").alias("max_risk"), F.grouping_id().alias("g"))
+    name = F.when(F.col("g") == 1, "requests_total").when(F.col("g") == 2, "decisions_total").otherwise("tenant_scans")
+    return grouped.select(name.alias("metric"), "tenant_id", "action", "endpoint", "risk_level", "total", "max_risk")
+
+
 def histogram(events: DataFrame, value: str, buckets, *labels: str) -> DataFrame:
     """Cumulative buckets with ``+Inf``, sum and count per label set, in one aggregation."""
     v = F.col(value)

@@ -21,17 +21,16 @@ from . import threats as T
 def _redacted_messages(messages: DataFrame, decided: DataFrame, keys, overlaps: str) -> DataFrame:
     """Messages of the decided sessions, non-system ones masked one by one.
 
-    Masking is a map over messages and runs before the join, so the join carries
-    each text once and the decisions are one narrow row per session.
+    The join carries each text once; masking is a map over the joined rows, so
+    messages of sessions that were not let through are never masked.
     """
-    masked = R.redact(messages, "content", "mask", overlaps).select(
-        *keys, "turn", "role", "content",
-        F.col("redacted_text").alias("_masked"), F.col("redaction_count").alias("_n"))
+    joined = messages.select(*keys, "turn", "role", "content").join(decided, list(keys))
+    masked = R.redact(joined, "content", "mask", overlaps)
     change = (F.col("role") != "system") & F.col("_has_entities")
-    return masked.join(decided, list(keys)).select(
+    return masked.select(
         *keys, "turn", "role",
-        F.when(change, F.col("_masked")).otherwise(F.col("content")).alias("content"),
-        F.when(change, F.col("_n")).otherwise(0).alias("redactions"))
+        F.when(change, F.col("redacted_text")).otherwise(F.col("content")).alias("content"),
+        F.when(change, F.col("redaction_count")).otherwise(0).alias("redactions"))
 
 
 def prompt_decisions(

@@ -274,6 +274,14 @@ def policy_violations_total(spark, sf):
     return U.counter(rows, "policy_id", "rule_id", "action")
 
 
+@query(_SCANS + """
+SELECT 'requests_total' AS metric, tenant_id, action, endpoint, NULL::VARCHAR AS risk_level, count(*) AS total, max(risk_score) AS max_risk FROM m GROUP BY ALL
+UNION ALL SELECT 'decisions_total', tenant_id, action, NULL, risk_level, count(*), max(risk_score) FROM m GROUP BY ALL
+UNION ALL SELECT 'tenant_scans', tenant_id, NULL, NULL, NULL, count(*), max(risk_score) FROM m GROUP BY ALL""")
+def scan_metrics(spark, sf):
+    return U.scan_metrics(scans(spark, sf))
+
+
 def _histogram_sql(source, value, buckets, label):
     parts = [f"SELECT {label}, '{b:g}' AS le, count(*) FILTER ({value} <= {b}::DOUBLE) AS cumulative, count({value}) AS observations FROM {source} GROUP BY ALL"
              for b in buckets]

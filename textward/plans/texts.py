@@ -205,7 +205,7 @@ def actions_by_source(spark, sf):
 
 @query(O.INSPECTED + """
 SELECT toxic_label, quality, action, count(*) AS n_docs, count(*) FILTER (toxic) AS n_flagged
-FROM (SELECT s.action, s.toxic, l.toxic AS toxic_label, l.quality FROM s JOIN labels l USING (doc_id)) GROUP BY ALL""")
+FROM (SELECT s.action, s.toxic, l.toxic::BIGINT AS toxic_label, l.quality::BIGINT AS quality FROM s JOIN labels l USING (doc_id)) GROUP BY ALL""")
 def detector_evaluation(spark, sf):
     labels = N.table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("toxic_label"), "quality")
     v = I.verdicts(N.documents(spark, sf)).select("doc_id", "action", "toxicity_detected")
@@ -424,3 +424,10 @@ def vault_invalidation(spark, sf):
     total = v.groupBy("tenant_id").agg(F.count("*").alias("entries"))
     return total.join(kept, "tenant_id", "left").select(
         "tenant_id", "entries", (F.col("entries") - F.coalesce("kept", F.lit(0))).alias("invalidated"))
+
+
+@query(_REDACT + f""", {MERGED} SELECT 't' || (doc_id % 3) AS tenant_id, count(*) AS entries FROM m GROUP BY ALL""")
+def vault_gauge(spark, sf):
+    v = _vault(_sessions(N.documents(spark, sf)))
+    live = v.where(F.col("expires_at") > F.to_timestamp(F.lit("2024-06-01 12:00:00")))
+    return live.groupBy("tenant_id").agg(F.count("*").alias("entries"))

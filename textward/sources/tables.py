@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of few files over the cluster's cores before costly text work.
+    """Spread a small scan over the cluster's cores before costly text work.
 
-    Regex work dominates these jobs, and a single small file is one task however
-    many cores there are.  With at least one file per core the scan is already
-    parallel and the frame is returned as it is: no text is shuffled at scale.
+    Regex work dominates these jobs, and a small file is one task however many
+    cores there are.  Only an input of less than one full scan split per core is
+    repartitioned; anything larger already fills the cluster, and is returned as
+    it is, so no text is shuffled at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    session = df.sparkSession
+    cores = session.sparkContext.defaultParallelism
+    to_bytes = session.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    split = to_bytes(session.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
