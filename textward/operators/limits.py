@@ -25,29 +25,32 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def activity_segments(df: DataFrame, key: str, ts: str, gap_seconds: float, bucket_seconds: int = 3600) -> DataFrame:
+def activity_segments(df: DataFrame, keys, ts: str, gap_seconds: float, bucket_seconds: int = 3600) -> DataFrame:
     """Append ``segment``: the time (microseconds) at which the key's current stretch began.
 
     A stretch ends at a gap of at least ``gap_seconds``.  Rows are compared only
-    within (key, time bucket); what happened before a bucket comes from one
-    summary row per bucket.
+    within (key, time bucket); what came before a bucket is one summary row per
+    bucket, chained per key.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     gap = F.lit(int(gap_seconds * MICROS))
+    place = [*keys, "_bucket"]
+    inside = Window.partitionBy(*place).orderBy("_t")
     timed = df.withColumn("_t", _micros(ts)).withColumn(
         "_bucket", F.floor(F.col("_t") / (bucket_seconds * MICROS)).cast("bigint"))
-    inside = Window.partitionBy(key, "_bucket").orderBy("_t")
-    ends = timed.groupBy(key, "_bucket").agg(F.max("_t").alias("_end")).withColumn(
-        "_before", F.lag("_end").over(Window.partitionBy(key).orderBy("_bucket"))).drop("_end")
-    marked = timed.join(ends, [key, "_bucket"]).withColumn(
-        "_previous", F.coalesce(F.lag("_t").over(inside), F.col("_before"))
-    ).withColumn("_start", F.when(
-        F.col("_previous").isNull() | (F.col("_t") - F.col("_previous") >= gap), F.col("_t")))
-    starts = marked.groupBy(key, "_bucket").agg(F.max("_start").alias("_s")).withColumn(
-        "_carried", F.max("_s").over(
-            Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_s")
-    own = F.max("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.join(starts, [key, "_bucket"]).select(
-        *df.columns, F.coalesce(own, F.col("_carried")).alias("segment"))
+    # Starts that are visible inside the bucket, i.e. after one of its own rows.
+    inner = timed.withColumn("_start", F.when(F.col("_t") - F.lag("_t").over(inside) >= gap, F.col("_t")))
+    chain = Window.partitionBy(*keys).orderBy("_bucket")
+    buckets = inner.groupBy(*place).agg(
+        F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.max("_start").alias("_inner"))
+    before = F.lag("_last").over(chain)
+    opened = buckets.withColumn("_opens", F.when(before.isNull() | (F.col("_first") - before >= gap), F.col("_first")))
+    carried = F.last(F.coalesce("_inner", "_opens"), ignorenulls=True).over(
+        chain.rowsBetween(Window.unboundedPreceding, -1))
+    heads = opened.select(*place, F.coalesce("_opens", carried).alias("_head"))
+    own = F.max("_start").over(inside.rangeBetween(Window.unboundedPreceding, 0))
+    return inner.withColumn("_own", own).join(heads, place).select(
+        *df.columns, F.coalesce("_own", "_head").alias("segment"))
 
 
 def fold_segments(

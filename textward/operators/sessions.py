@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
+from .limits import activity_segments
 from .threats import memory_poison
 
 SESSION = ("tenant_id", "session_id")
@@ -187,10 +188,16 @@ def split_expired(metadata: DataFrame, as_of: Column, ttl_seconds: int = C.SESSI
 
 
 def activity_windows(events: DataFrame, keys=SESSION, ts: str = "ts", ttl_seconds: int = C.SESSION_TTL_SECONDS) -> DataFrame:
-    """Stretches of activity that a session's time to live would keep alive."""
-    window = F.session_window(ts, f"{ttl_seconds} seconds")
-    return events.groupBy(*keys, window.alias("w")).agg(F.count("*").alias("messages")).select(
-        *keys, F.col("w.start").alias("started_at"), F.col("w.end").alias("expires_at"), "messages")
+    """Stretches of activity that a session's time to live would keep alive.
+
+    Stretches are found per time bucket and counted with map-side combination,
+    so a very active session is not merged in one task.
+    """
+    cut = activity_segments(events.select(*keys, ts), keys, ts, ttl_seconds)
+    width = F.make_dt_interval(secs=F.lit(ttl_seconds))
+    return cut.groupBy(*keys, "segment").agg(
+        F.min(ts).alias("started_at"), (F.max(ts) + width).alias("expires_at"), F.count("*").alias("messages")
+    ).drop("segment")
 
 
 def erase_sessions(messages: DataFrame, sessions: DataFrame, keys=SESSION) -> DataFrame:
