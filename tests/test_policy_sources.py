@@ -85,6 +85,23 @@ def test_evaluation_corner_cases(spark, policy_dir):
     assert rows[5]["policy_action"] == "allow"
 
 
+def test_pattern_rules_can_ignore_case(spark, policy_dir):
+    rules = to_rules(read_policies(spark, policy_dir))
+    df = spark.createDataFrame([(1, "proJect abc"), (2, "proKect abc")], "doc_id int, text string")
+    strict = {r["doc_id"]: r["text_tests"] for r in P.text_features(df, rules).collect()}
+    loose = {r["doc_id"]: r["text_tests"] for r in P.text_features(df, rules, ignore_case=True).collect()}
+    assert strict == {1: [], 2: []} and len(loose[1]) == 1 and loose[2] == []
+
+
+def test_tenant_rules_and_unknown_regions(spark):
+    rules = P.shipped_rules((1,))
+    df = spark.createDataFrame([(1, "EU", "hello"), (2, None, "hello"), (3, "", "mail a@b.co")],
+                               "doc_id int, region string, text string")
+    rows = {r["doc_id"]: r for r in P.evaluate(P.text_features(df, rules), rules).collect()}
+    assert rows[1]["policy_action"] == "alert" and rows[2]["policy_action"] == "allow"
+    assert rows[3]["policy_action"] == "redact" and rows[3]["frameworks_triggered"] == ["gdpr"]
+
+
 def test_final_action_is_never_weaker(spark):
     actions = ["allow", "alert", "redact", "block"]
     df = spark.createDataFrame([(a, b) for a in actions for b in actions], "a string, b string")

@@ -83,12 +83,12 @@ def compliance_report(events: DataFrame, frameworks, as_of: Column) -> DataFrame
         F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("report_generated"))
 
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """One JSON line per event: fixed fields first, then the metadata fields at top level."""
+def event_lines(events: DataFrame, metadata=("processing_ms", "department")) -> DataFrame:
+    """One JSON line per event: fixed fields first, then the metadata columns at top level."""
     fixed = F.struct(
         "event_id", "event_type", "tenant_id", "user_id", "session_id", "action",
         F.round("risk_score", 4).alias("risk_score"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "processing_ms", "department")
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *metadata)
     return events.select("event_id", F.to_json(fixed).alias("line"))
 
 
