@@ -209,9 +209,6 @@ def integrity_check(log: DataFrame, source: DataFrame, key: str, hash_column: st
         F.count_if(F.col("_actual").isNull()).alias("orphaned"))
 
 
-BUFFERS = {"audit": C.AUDIT_BUFFER, "events": C.EVENT_BUFFER}
-
-
 def bounded_buffer(events: DataFrame, size: int = C.AUDIT_BUFFER) -> DataFrame:
     """The newest ``size`` events, as a top-k."""
     return events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(size)

@@ -153,7 +153,7 @@ def text_features(
         *keep, "evidence", S.risk_score().alias("risk_score"), D.once(F.expr(found)).alias("text_tests"))
 
 
-def with_context(df: DataFrame, region: str | None = None) -> DataFrame:
+def with_context(df: DataFrame) -> DataFrame:
     """Fill the request context with its defaults; absent columns are added."""
     defaults = {"content_type": "prompt", "user_role": DEFAULT_ROLE, "department": "",
                 "model_name": DEFAULT_MODEL, "region": "", "intended_audience": "", "tenant_id": None}
