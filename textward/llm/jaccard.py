@@ -7,11 +7,12 @@ fragment alone.
 2. Half of the order is cut into ranges of bounded size.  Each range counts, for each node, the n-grams that no other
    node holds.  A node with more of them, summed over ranges, than its size allows a partner to miss is done.  What
    remains is what has copies, whatever lines or passages other documents share.
-3. For the remaining nodes all ranges give each n-gram's frequency and one hub, the smallest node that holds it.  A
-   node's prefix is its rarest n-grams, one more than it may miss; two linked nodes share one of their prefixes.
+3. For the remaining nodes all ranges give each n-gram's frequency and one hub, of the nodes that hold it the one
+   whose n-grams are most frequent.  A node's prefix is its rarest n-grams, one more than it may miss.  Two linked nodes
+   share one of their prefixes, at places low enough for the overlap that their sizes need.
 4. Each node is compared with the hub of most of its n-grams.  Overlaps are counted in each fragment, summed for each
    pair, and linked pairs form groups.
-5. Pairs that share a prefix n-gram but are not in one group yet are compared the same way, so no link between
+5. Pairs that share a prefix n-gram at such places but are not in one group yet are compared the same way, so no link between
    groups is lost, while a group of any size costs one comparison a member and not all pairs.
 
 With n different n-grams the chance that hashes disturb any overlap is that of a 64-bit collision within a pair.
@@ -25,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -195,8 +196,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _each_range(batches, np.uint64):
         nodes, sizes, gram, start, own = _holders(part)
         count = np.diff(np.append(start, len(gram)))
-        frequency, hub = np.repeat(count, count), np.repeat(own[start], count)
+        frequency = np.repeat(count, count)
         lone = np.bincount(own[frequency == 1], minlength=len(nodes))
+        mean = np.bincount(own, frequency, len(nodes)) / np.maximum(np.bincount(own, minlength=len(nodes)), 1)
+        by_rank = np.argsort(-mean, kind="stable")
+        rank = np.empty_like(by_rank)
+        rank[by_rank] = np.arange(len(nodes))
+        hub = np.repeat(by_rank[np.minimum.reduceat(rank[own], start)], count) if len(start) else own
         keep = np.flatnonzero(frequency > 1)
         keep = keep[np.argsort(own[keep], kind="stable")]
         bound = np.searchsorted(own[keep], np.arange(len(nodes) + 1))
@@ -209,14 +215,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(percent: int):
-    """Per node, from rows sorted by node: prefix n-grams, and the hub of most of its n-grams."""
+    """Per node, from rows sorted by node: prefix n-grams with their places from 0, and the hub of most of its n-grams."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         current = None
 
-        def finish() -> tuple[list, list, list, list] | None:
-            n = held[0][0]
-            left = (100 - percent) * n // 100 + 1 - sum(h[1] for h in held)
+        def finish() -> tuple[list, ...] | None:
+            n, lone = held[0][0], sum(h[1] for h in held)
+            left = (100 - percent) * n // 100 + 1 - lone
             grams = np.concatenate([np.frombuffer(h[2], np.uint64) for h in held])
             if left <= 0 or not len(grams):
                 return None
@@ -227,14 +233,16 @@ def _prefixes(percent: int):
                 other = hubs != current
                 best = int(hubs[other][np.argmax(votes[other])])
             prefix = grams[np.lexsort((grams, frequency))[:left]]
-            return prefix.view(np.int64).tolist(), [current] * len(prefix), [n] * len(prefix), [best] * len(prefix)
+            size = len(prefix)
+            return (prefix.view(np.int64).tolist(), [current] * size, [n] * size, list(range(lone, lone + size)),
+                    [best] * size)
 
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
 
         def rows() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_pydict({name: pa.array(c, pa.int64()) for name, c in zip(
-                ("gram", "node", "n", "hub"), out, strict=True)})
-            out[:] = [[], [], [], []]
+                ("gram", "node", "n", "place", "hub"), out, strict=True)})
+            out[:] = [[], [], [], [], []]
             return batch
 
         def add() -> None:
@@ -305,6 +313,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """Least overlap of linked sets of these sizes."""
+    return F.ceil(percent * (n + m) / (100 + percent))
+
+
 def _pairs(a: DataFrame, percent: int) -> DataFrame:
     return a.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))) \
         .distinct()
@@ -339,20 +352,28 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     frequent = by_range(sets.select("node", "members").mapInArrow(_sets_to_ranges(kept // RANGE + 1), _RANGES)) \
         .mapInArrow(_frequencies, "node bigint, n bigint, lone bigint, grams binary, frequencies binary, hubs binary")
     prefixes = staged(frequent.repartition("node").sortWithinPartitions("node")
-                      .mapInArrow(_prefixes(percent), "gram bigint, node bigint, n bigint, hub bigint"))
+                      .mapInArrow(_prefixes(percent), "gram bigint, node bigint, n bigint, place bigint, hub bigint"))
     size = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
     stars = prefixes.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct() \
         .join(size, "a")
     first = staged(linked(staged(_pairs(stars.select("a", "b", "n_a", "n_b"), percent)), sets, percent))
     groups = components(first)
-    grouped = staged(prefixes.select("gram", "node", "n").join(groups, "node", "left")
-                     .withColumn("label", F.coalesce("label", "node")))
-    mixed = staged(grouped.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                   .filter(F.col("low") != F.col("high")).select("gram"))
-    open_rows = staged(grouped.join(mixed, "gram"))
-    x = open_rows.select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("of_a"))
-    y = open_rows.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("of_b"))
-    across = x.join(y, "gram").filter((F.col("of_a") != F.col("of_b")) & (F.col("a") < F.col("b"))) \
+    open_rows = staged(prefixes.select("gram", "node", "n", "place").join(groups, "node", "left")
+                       .withColumn("label", F.coalesce("label", "node")))
+    for _ in range(2):  # rows that no partner of the other groups can need leave; more may follow
+        mixed = staged(open_rows.groupBy("gram")
+                       .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
+                       .filter(F.col("low") != F.col("high")).select("gram", "least"))
+        smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+        open_rows = staged(open_rows.join(mixed, "gram")
+                           .filter(F.col("place") <= F.col("n") - _needed(F.col("n"), smallest, percent))
+                           .drop("least"))
+    x, y = (open_rows.select("gram", F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "place", "label")])
+            for k in ("a", "b"))
+    needed = _needed(F.col("n_a"), F.col("n_b"), percent)
+    across = x.join(y, "gram").filter(
+        (F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b"))
+        & (F.col("place_a") <= F.col("n_a") - needed) & (F.col("place_b") <= F.col("n_b") - needed)) \
         .select("a", "b", "n_a", "n_b")
     second = staged(linked(staged(_pairs(across, percent)), sets, percent))
     return signatures, first.union(second)
