@@ -12,7 +12,9 @@ fragment alone.
    share one of their prefixes, at places low enough for the overlap that their sizes need.
 4. Each node is compared with the hub of most of its n-grams.  Overlaps are counted in each fragment, summed for each
    pair, and linked pairs form groups.
-5. Pairs that share a prefix n-gram at such places but are not in one group yet are compared the same way, so no link between
+5. Nodes that share a prefix n-gram at such places with a node of another group are compared with the n-gram's most
+   central one, and groups are formed again, some times.
+6. Pairs that share a prefix n-gram at such places but are not in one group yet are compared the same way, so no link between
    groups is lost, while a group of any size costs one comparison a member and not all pairs.
 
 With n different n-grams the chance that hashes disturb any overlap is that of a 64-bit collision within a pair.
@@ -36,6 +38,8 @@ from .storage import staged
 RANGE = 2_000_000
 #: Fragments in which the overlap of a pair is counted.
 FRAGMENTS = 8
+#: Times that open nodes are compared with one node for each of their n-grams before all open pairs are.
+ROUNDS = 2
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -318,7 +322,52 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent))
 
 
+def _open(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Prefix rows with the label of their group, without those that no row of another group can need."""
+    rows = staged(prefixes.select("gram", "node", "n", "place").join(groups, "node", "left")
+                  .withColumn("label", F.coalesce("label", "node")))
+    for _ in range(2):  # what leaves may leave others without a partner
+        mixed = staged(rows.groupBy("gram")
+                       .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
+                       .filter(F.col("low") != F.col("high")).select("gram", "least"))
+        smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+        rows = staged(rows.join(mixed, "gram")
+                      .filter(F.col("place") <= F.col("n") - _needed(F.col("n"), smallest, percent)).drop("least"))
+    return rows
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups that share a prefix n-gram at low enough places.
+
+    The smaller set of a pair holds the n-gram at a place low enough for partners of its own size or more; such rows
+    stand in bins of size.  The larger one looks into the bins of the sizes that its own place allows.  Rows of an
+    n-gram's largest group meet only rows of other groups, so members of a large group never meet each other.
+    """
+    sizes = rows.groupBy("gram", "label").count()
+    largest = staged(sizes.groupBy("gram").agg(F.max_by("label", F.struct("count", "label")).alias("largest")))
+    marked = staged(rows.join(largest, "gram").withColumn("outside", F.col("label") != F.col("largest")).drop("largest"))
+
+    def bin_of(size: Column) -> Column:
+        return F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(1.02)))
+
+    n, place = F.col("n"), F.col("place")
+    smaller = marked.filter(place <= n - _needed(n, n, percent)).select(
+        "gram", bin_of(n).alias("bin"), F.col("node").alias("a"), n.alias("n_a"), place.alias("place_a"),
+        F.col("label").alias("label_a"), F.col("outside").alias("outside_a"))
+    low = F.ceil(percent * n / 100)
+    high = F.least(n, F.floor((100 + percent) * (n - place) / percent) - n)
+    larger = marked.filter(high >= low).select(
+        "gram", F.explode(F.sequence(bin_of(low), bin_of(high))).alias("bin"), F.col("node").alias("b"),
+        n.alias("n_b"), high.alias("high"), F.col("label").alias("label_b"), F.col("outside").alias("outside_b"))
+    fits = (F.col("label_a") != F.col("label_b")) & (F.col("n_a") <= F.col("high")) \
+        & (F.col("place_a") <= F.col("n_a") - _needed(F.col("n_a"), F.col("n_b"), percent))
+    one = smaller.filter("outside_a").join(larger, ["gram", "bin"]).filter(fits)
+    other = smaller.filter(~F.col("outside_a")).join(larger.filter("outside_b"), ["gram", "bin"]).filter(fits)
+    return one.unionByName(other).select("a", "b", "n_a", "n_b")
+
+
 def _pairs(a: DataFrame, percent: int) -> DataFrame:
+    """Different pairs whose sizes allow a link."""
     return a.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))) \
         .distinct()
 
@@ -357,26 +406,21 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     stars = prefixes.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct() \
         .join(size, "a")
     first = staged(linked(staged(_pairs(stars.select("a", "b", "n_a", "n_b"), percent)), sets, percent))
-    groups = components(first)
-    open_rows = staged(prefixes.select("gram", "node", "n", "place").join(groups, "node", "left")
-                       .withColumn("label", F.coalesce("label", "node")))
-    for _ in range(2):  # rows that no partner of the other groups can need leave; more may follow
-        mixed = staged(open_rows.groupBy("gram")
-                       .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
-                       .filter(F.col("low") != F.col("high")).select("gram", "least"))
-        smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
-        open_rows = staged(open_rows.join(mixed, "gram")
-                           .filter(F.col("place") <= F.col("n") - _needed(F.col("n"), smallest, percent))
-                           .drop("least"))
-    x, y = (open_rows.select("gram", F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "place", "label")])
-            for k in ("a", "b"))
-    needed = _needed(F.col("n_a"), F.col("n_b"), percent)
-    across = x.join(y, "gram").filter(
-        (F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b"))
-        & (F.col("place_a") <= F.col("n_a") - needed) & (F.col("place_b") <= F.col("n_b") - needed)) \
-        .select("a", "b", "n_a", "n_b")
-    second = staged(linked(staged(_pairs(across, percent)), sets, percent))
-    return signatures, first.union(second)
+    found, groups = first, components(first)
+    rows_left = prefixes.drop("hub")
+    for _ in range(ROUNDS):
+        rows_left = _open(rows_left, groups, percent)
+        central = staged(rows_left.groupBy("gram").agg(F.min(F.struct("place", "node", "n", "label")).alias("hub")))
+        star = rows_left.join(central, "gram").filter(F.col("label") != F.col("hub.label")).select(
+            F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"),
+            F.when(F.col("node") < F.col("hub.node"), F.col("n")).otherwise(F.col("hub.n")).alias("n_a"),
+            F.when(F.col("node") < F.col("hub.node"), F.col("hub.n")).otherwise(F.col("n")).alias("n_b"))
+        found = staged(found.union(linked(staged(_pairs(star, percent)), sets, percent)))
+        groups = components(found)
+    open_rows = _open(rows_left, groups, percent)
+    second_pairs = _across(open_rows, percent)
+    second = staged(linked(staged(_pairs(second_pairs, percent)), sets, percent))
+    return signatures, found.union(second)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed now and kept on shared storage, so that a lost executor costs no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows of ``df``, computed now and kept on shared storage, so that a lost executor costs no recomputation.
+
+    A written table, unlike a checkpoint, also brings the true size of the data into later plans: the estimates that
+    a checkpoint carries along multiply with every join of an iteration, until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
