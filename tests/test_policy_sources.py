@@ -175,11 +175,28 @@ def test_file_texts(spark, tmp_path):
     (tmp_path / "e.exe").write_text("no")
     (tmp_path / "f.json").write_text("{broken")
     files = FS.read_files(spark, str(tmp_path))
-    texts = {r["filename"]: r["text"] for r in FS.extract_text(files, "filename").collect()}
+    rows = {r["filename"]: r for r in FS.extract_text(files, "filename").collect()}
+    texts = {k: r["text"] for k, r in rows.items()}
     assert set(texts) == {"a.txt", "b.json", "c.csv", "d.eml", "f.json"}
-    assert texts["a.txt"].startswith("h�llo") and texts["f.json"] == ""
-    assert texts["b.json"] == '{\n  "k": [\n    "v",\n    1\n  ]\n}'
-    assert texts["d.eml"] == "a@x.org\nb@y.org\nHi\nbody" and "1" in texts["c.csv"]
+    assert texts["a.txt"].startswith("h�llo")
+    assert texts["f.json"] is None and not rows["f.json"]["extracted"] and rows["f.json"]["error"] == "not JSON"
+    assert texts["b.json"] == '{"k":["v",1]}' and rows["b.json"]["extracted"]
+    assert texts["d.eml"] == "a@x.org\nb@y.org\nHi\nbody" and texts["c.csv"] == "x,y\n1,2\n"
+
+
+def test_whole_files_are_read_and_unread_ones_are_marked(spark):
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    mail = ("From: a@x.org\nTo: b@y.org,\n c@y.org\nSubject: Hi\nContent-Type: multipart/mixed; boundary=\"q+r\"\n\n"
+            "preamble\n--q+r\nContent-Type: text/plain\nContent-Transfer-Encoding: base64\n\naGVsbG8=\n"
+            "--q+r\nContent-Type: image/png\n\nxx\n--q+r--\n")
+    df = spark.createDataFrame([
+        (1, "json", ('{"a":"' + "x" * 60_000 + key + '"}').encode()), (2, "csv", ("a,b\n" * 20_000 + key).encode()),
+        (3, "pdf", b"%PDF"), (4, "txt", None), (5, "eml", mail.encode())], "id int, ext string, content binary")
+    rows = {r["id"]: r for r in FS.extract_text(df, "id").collect()}
+    assert key in rows[1]["text"] and key in rows[2]["text"]
+    assert [rows[i]["extracted"] for i in (1, 2, 3, 4, 5)] == [True, True, False, False, True]
+    assert rows[3]["text"] is None and rows[3]["error"] == "no reader" and rows[4]["error"] == "no content"
+    assert rows[5]["text"] == "a@x.org\nb@y.org, c@y.org\nHi\nhello"
 
 
 def test_admission(spark):

@@ -101,14 +101,16 @@ def prompt_messages(
 
 
 def gateway(
-    messages: DataFrame, keys=H.SESSION, max_messages: int = C.MAX_HISTORY_MESSAGES, overlaps: str = "merge",
+    messages: DataFrame, keys=H.SESSION, max_messages: int | None = None, overlaps: str = "merge",
 ) -> DataFrame:
     """Guarded exchange per session: user turns are the request, assistant turns the reply.
 
-    The request is the session's bounded history.  Every message is inspected
-    once, and both sides are reduced to counters before they are joined.
+    The request is every message but the replies; ``max_messages`` keeps the newest only.  Every message is
+    inspected once, and both sides are reduced to counters before they are joined.
     """
-    asked = H.bound_history(messages.where("role <> 'assistant'"), keys, max_messages)
+    asked = messages.where("role <> 'assistant'")
+    if max_messages is not None:
+        asked = H.bound_history(asked, keys, max_messages)
     full = H.assemble(asked, keys)
     v = D.with_evidence(full).select(
         *keys, "evidence", S.risk_score().alias("input_risk_score"), H.token_estimate(F.col("text")).alias("_prompt"))

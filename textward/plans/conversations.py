@@ -181,8 +181,8 @@ def forwarded_messages(spark, sf):
     return m.select("session_id", "turn", "role", "redactions", content_hash(F.col("content")).alias("content_hash"))
 
 
-@query(f"""WITH {O.TURNS}, asked AS (SELECT * FROM c WHERE role <> 'assistant'), {bounded_sql(50, 'asked')},
-{_JOINED.format(source='b')}, {O.inspection('full_text', 'session_id', 'text')},
+@query(f"""WITH {O.TURNS}, asked AS (SELECT * FROM c WHERE role <> 'assistant'),
+{_JOINED.format(source='asked')}, {O.inspection('full_text', 'session_id', 'text')},
 {O.hits('c', 'session_id, turn', 'content', 'mh')},
 {O.injections('c', 'session_id, turn', 'content', 'mj')},
 me AS (SELECT session_id, turn, count(*) AS n, max(CASE {O.CATEGORY} WHEN 'secret' THEN 0.95 WHEN 'pii' THEN 0.65 ELSE 0.85 END::DOUBLE * ({O.CONFIDENCE})::DOUBLE) AS er

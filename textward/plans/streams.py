@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 def _events(spark, sf):
     schema = N.table(spark, sf, "events").schema
-    e = X.file_stream(spark, sf, schema, "events.parquet")
+    e = X.file_stream(spark, f"{sf}/events.parquet", schema)
     return e.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", N.action_of(F.col("event_type")).alias("action"),
         F.least(F.floor("value") / 200, F.lit(1.0)).alias("risk_score"),
@@ -35,7 +35,7 @@ def _events(spark, sf):
 
 def _documents(spark, sf):
     schema = N.table(spark, sf, "documents").schema
-    d = X.file_stream(spark, sf, schema, "documents.parquet")
+    d = X.file_stream(spark, f"{sf}/documents.parquet", schema)
     return d.select("doc_id", "source", F.concat(
         "text", seeds.chosen(seeds.DOCUMENT_SEEDS, F.col("doc_id"), seeds.N_DOCUMENT_SEEDS)).alias("text"))
 

@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | None = None, name: str = "textward") -> SparkSession:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:  # Python workers import the package wherever they start
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(name)

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 
-CSV_ROWS, JSON_CHARS = 10_000, 50_000  # fixed limits of the rendered text
-
 
 def extension(name: Column) -> Column:
     """Lower-cased part after the last dot, '' without one."""
@@ -39,41 +32,48 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return admission(named).where("admitted").drop("reject_reason", "admitted")
 
 
-def _text(ext: str, content: bytes) -> str:
-    if ext == "txt":
-        return content.decode("utf-8", errors="replace")
-    if ext == "csv":
-        return pd.read_csv(io.BytesIO(content), dtype=str, nrows=CSV_ROWS).to_string()
-    if ext == "json":
-        return json.dumps(json.loads(content), indent=2, default=str)[:JSON_CHARS]
-    if ext == "eml":
-        import email
+def _header(name: str, head: Column) -> Column:
+    """Value of a mail header, folded lines joined; null without it."""
+    value = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*(.*(?:\n[ \t]+.*)*)", 1)
+    return F.when(head.rlike(rf"(?im)^{name}:"), F.regexp_replace(value, r"\n[ \t]+", " "))
+
+
+def _decoded(part: Column) -> Column:
+    """Body of a mail part after its transfer encoding; soft line breaks of quoted-printable are joined."""
+    head, body = F.substring_index(part, "\n\n", 1), F.regexp_replace(part, r"(?s)^.*?\n\n", "")
+    encoding = F.lower(F.coalesce(_header("Content-Transfer-Encoding", head), F.lit("")))
+    plain = F.make_valid_utf8(F.try_to_binary(F.regexp_replace(body, r"\s", ""), F.lit("base64")).cast("string"))
+    return F.when(encoding.startswith("base64"), F.coalesce(plain, F.lit(""))) \
+        .when(encoding.startswith("quoted"), F.regexp_replace(body, "=\n", "")).otherwise(body)
+
 
-        message = email.message_from_bytes(content)
-        parts = [str(message[h]) for h in ("From", "To", "Subject")]
-        for part in message.walk():
-            if not part.is_multipart() and (part.get_content_type() == "text/plain" or not message.is_multipart()):
-                parts.append(part.get_payload(decode=True).decode("utf-8", errors="replace"))
-        return "\n".join(parts)
-    return ""
+def _mail(raw: Column) -> Column:
+    """Sender, recipient, subject and the text parts of a message, a line each."""
+    head = F.substring_index(raw, "\n\n", 1)
+    kind = F.coalesce(_header("Content-Type", head), F.lit(""))
+    boundary = F.regexp_extract(kind, '(?i)boundary="?([^";]+)', 1)
+    parts = F.split(raw, F.concat(F.lit("(?m)^--\\Q"), boundary, F.lit("\\E(?:--)?[ ]*\n?")))
+    own = F.filter(parts, lambda p, i: (i > 0) & (
+        p.startswith("\n") | F.substring_index(p, "\n\n", 1).rlike("(?i)content-type: *text/plain")))
+    texts = F.when(F.lower(kind).startswith("multipart/") & (boundary != ""), F.transform(own, _decoded)) \
+        .otherwise(F.array(_decoded(raw)))
+    return F.array_join(F.concat(F.array(*[F.coalesce(_header(h, head), F.lit("")) for h in ("From", "To", "Subject")]),
+                                 texts), "\n")
 
 
 def extract_text(files: DataFrame, *keys: str) -> DataFrame:
-    """Text per file (``ext``, ``content``); any defect gives an empty text.
+    """``ext, text, extracted, error`` of each file (``ext``, ``content``), by column expressions alone.
 
-    One file is the unit of parsing; Spark spreads the files.  PDF and DOCX need
-    libraries that are not part of this package and give empty texts.
+    The whole file is text: bytes that are no UTF-8 become U+FFFD, JSON is parsed (so escapes in its strings are
+    resolved) and written again, CSV stays as it is, mails give their headers and text parts.  A file that cannot be
+    read, or whose kind has no reader (PDF, DOCX), has a null text and an error; it must not be judged as clean.
     """
-    schema = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys) + ", ext string, text string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for ext, content in zip(batch["ext"], batch["content"]):
-                try:
-                    texts.append(_text(ext, bytes(content)))
-                except Exception:  # unreadable files yield no text
-                    texts.append("")
-            yield batch[[*keys, "ext"]].assign(text=texts)
-
-    return files.select(*keys, "ext", "content").mapInPandas(run, schema)
+    ext = F.col("ext")
+    raw = F.make_valid_utf8(F.col("content").cast("string"))
+    document = F.try_parse_json(raw).cast("string")
+    mail = _mail(F.replace(raw, F.lit("\r\n"), F.lit("\n")))
+    text = F.when(ext.isin("txt", "csv"), raw).when(ext == "json", document).when(ext == "eml", mail)
+    error = F.when(F.col("content").isNull(), "no content").when(~ext.isin("txt", "csv", "json", "eml"), "no reader") \
+        .when((ext == "json") & document.isNull(), "not JSON")
+    return files.select(*keys, "ext", text.alias("text"), F.coalesce(error.isNull(), F.lit(False)).alias("extracted"),
+                        error.alias("error"))

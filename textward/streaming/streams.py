@@ -22,16 +22,16 @@ from ..operators import policy as P
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared directory the cluster names; a local one only where none is set."""
+    """A fresh folder in the shared directory the cluster names; a local one only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base or tempfile.mkdtemp(prefix='textward-')}/{name}-{uuid.uuid4().hex}"
 
 
-def file_stream(spark: SparkSession, folder: str, schema, glob: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream; ``files_per_trigger`` bounds a micro-batch."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
+    """A Parquet table, one file or a folder of part files, as a stream; ``files_per_trigger`` bounds a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
 
 
 def inspect_stream(texts: DataFrame, text: str = "text") -> DataFrame:
