@@ -119,7 +119,7 @@ def _to_ranges(nodes: np.ndarray, sets: list[np.ndarray], ranges: int, bits: int
     flat, own, at = flat[order], own[order], at[order]
     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     rows: dict[str, list] = {"range": [], "nodes": [], "sizes": [], "counts": [], "members": []}
-    for a, b in zip(edge, [*edge[1:], len(at)], strict=True):
+    for a, b in zip(edge, np.append(edge[1:], len(at))[: len(edge)], strict=True):
         held, count = np.unique(own[a:b], return_counts=True)
         rows["range"].append(int(at[a]))
         rows["nodes"].append(nodes[held].astype(np.int64).tobytes())
