@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .storage import staged
 
-#: N-grams of a range that are sorted together in one task.
-RANGE = 2_000_000
+#: N-grams of a range that are sorted together in one task, and least number of ranges of the first count.
+RANGE, RANGES = 2_000_000, 32
 #: Fragments in which the overlap of a pair is counted.
 FRAGMENTS = 8
 #: Times that open nodes are compared with one node for each of their n-grams before all open pairs are.
@@ -389,7 +389,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     def by_range(ranged: DataFrame) -> DataFrame:
         return ranged.repartition("range").sortWithinPartitions("range")
 
-    lone = by_range(rows.select("text").mapInArrow(_texts_to_ranges(n, spread // 2 // RANGE + 1), _RANGES)) \
+    lone = by_range(rows.select("text").mapInArrow(_texts_to_ranges(n, max(RANGES, spread // 2 // RANGE + 1)), _RANGES)) \
         .mapInArrow(_unshared, "node bigint, unshared bigint").groupBy("node").agg(F.sum("unshared").alias("unshared"))
     slack = F.floor((100 - percent) * F.col("n") / 100)
     left = staged(nodes.join(lone, "node", "left").filter(F.coalesce("unshared", F.lit(0)) <= slack)
