@@ -30,6 +30,12 @@ def audit_page(events: DataFrame, limit: int = 50, offset: int = 0, order=("even
     return events.orderBy(*order).offset(offset).limit(limit)
 
 
+def audit_listing(events: DataFrame, limit: int = 50, offset: int = 0, order=("event_id",)) -> DataFrame:
+    """A page, and in ``total`` how many events there are in all: a count of its own, so no log is windowed."""
+    total = events.agg(F.count("*")).scalar()
+    return audit_page(events, limit, offset, order).withColumn("total", total)
+
+
 def audit_search(
     events: DataFrame, text: str | None = None, columns=("event_type", "session_id", "department", "policy_id"),
     start: Column | None = None, end: Column | None = None, **any_of,

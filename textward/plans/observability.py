@@ -42,11 +42,11 @@ def events(spark, sf):
 
 
 # ------------------------------------------------------------------ audit
-@query(f"""WITH {O.AUDIT} SELECT event_id, user_id, action, risk_level FROM a
+@query(f"""WITH {O.AUDIT} SELECT event_id, user_id, action, risk_level, count(*) OVER () AS total FROM a
 WHERE action = 'block' AND tenant_id = 't1' AND ts >= {T0} - INTERVAL 168 HOUR ORDER BY event_id LIMIT 20 OFFSET 5""")
 def audit_list(spark, sf):
     found = U.audit_filter(events(spark, sf), now(), 168, action="block", tenant_id="t1")
-    return U.audit_page(found, 20, 5).select("event_id", "user_id", "action", "risk_level")
+    return U.audit_listing(found, 20, 5).select("event_id", "user_id", "action", "risk_level", "total")
 
 
 @query(f"""WITH {O.AUDIT}, r AS (SELECT * FROM a WHERE ts >= {T0} - INTERVAL 24 HOUR)
@@ -282,21 +282,25 @@ def scan_metrics(spark, sf):
     return U.scan_metrics(scans(spark, sf))
 
 
+def _rounded(histogram):
+    return histogram.withColumn("total", F.round(F.col("total").cast("double"), 6))
+
+
 def _histogram_sql(source, value, buckets, label):
-    parts = [f"SELECT {label}, '{b:g}' AS le, count(*) FILTER ({value} <= {b}::DOUBLE) AS cumulative, count({value}) AS observations FROM {source} GROUP BY ALL"
+    parts = [f"SELECT {label}, '{b:g}' AS le, count(*) FILTER ({value} <= {b}::DOUBLE) AS cumulative, count({value}) AS observations, round(sum({value})::DOUBLE, 6) AS total FROM {source} GROUP BY ALL"
              for b in buckets]
-    parts.append(f"SELECT {label}, '+Inf', count({value}), count({value}) FROM {source} GROUP BY ALL")
+    parts.append(f"SELECT {label}, '+Inf', count({value}), count({value}), round(sum({value})::DOUBLE, 6) FROM {source} GROUP BY ALL")
     return " UNION ALL ".join(parts)
 
 
 @query(f"WITH {O.AUDIT} {_histogram_sql('a', 'processing_ms', C.LATENCY_BUCKETS_MS, 'event_type')}")
 def latency_histogram(spark, sf):
-    return U.histogram(events(spark, sf), "processing_ms", C.LATENCY_BUCKETS_MS, "event_type").drop("total")
+    return _rounded(U.histogram(events(spark, sf), "processing_ms", C.LATENCY_BUCKETS_MS, "event_type"))
 
 
 @query(_SCANS + _histogram_sql("m", "risk_score", C.RISK_BUCKETS, "tenant_id"))
 def risk_histogram(spark, sf):
-    return U.histogram(scans(spark, sf), "risk_score", C.RISK_BUCKETS, "tenant_id").drop("total")
+    return _rounded(U.histogram(scans(spark, sf), "risk_score", C.RISK_BUCKETS, "tenant_id"))
 
 
 @query(f"WITH {O.AUDIT}, {_META} SELECT tenant_id, count(*) FILTER (last_active_at + INTERVAL 86400 SECOND >= {T0}) AS active_sessions FROM m GROUP BY ALL")
@@ -337,18 +341,6 @@ def access_control_log(spark, sf):
     return reads.unionByName(calls)
 
 
-@query(f"""{O.INSPECTED.replace('WITH ', f'WITH {O.AUDIT}, ', 1)}
-SELECT tenant_id, a.action AS audited, s.action AS scanned, count(*) AS n, count(*) FILTER (user_known) AS known_users
-FROM a JOIN s ON s.doc_id = a.event_id LEFT JOIN (SELECT c_custkey, true AS user_known FROM customer) ON c_custkey = user_id GROUP BY ALL""")
-def audit_scan_join(spark, sf):
-    v = I.verdicts(N.documents(spark, sf)).select("doc_id", F.col("action").alias("scanned"))
-    users = N.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("user_known"))
-    a = events(spark, sf).select("event_id", "tenant_id", "user_id", F.col("action").alias("audited"))
-    j = a.join(v, a.event_id == v.doc_id).join(users, "user_id", "left")
-    return j.groupBy("tenant_id", "audited", "scanned").agg(
-        F.count("*").alias("n"), F.count_if(F.coalesce("user_known", F.lit(False))).alias("known_users"))
-
-
 # ------------------------------------------------------------------ dimensions
 _USERS = """u AS (SELECT c_custkey AS user_id, lower(replace(c_name, '#', '.')) || '@example.com' AS email, n_name AS tenant,
   (['viewer', 'analyst', 'admin'])[c_custkey % 3 + 1] AS role, c_mktsegment AS department, c_acctbal >= 0 AS is_active
@@ -369,6 +361,19 @@ def tenants(spark, sf):
     return users(spark, sf).groupBy("tenant").agg(F.count("*").alias("users"), F.count_if("is_active").alias("active_users"))
 
 
+@query(f"""{O.INSPECTED.replace('WITH ', f'WITH {O.AUDIT}, {_USERS}, ', 1)}
+SELECT a.tenant_id, u.tenant AS home_tenant, a.action AS audited, s.action AS scanned, count(*) AS n, count(u.user_id) AS known_users
+FROM a LEFT JOIN s ON s.doc_id = a.event_id LEFT JOIN u ON u.user_id = a.user_id GROUP BY ALL""")
+def audit_scan_join(spark, sf):
+    """Every audit event with its scan, if it has one, and the tenant its user belongs to, if the user is known."""
+    v = I.verdicts(N.documents(spark, sf)).select("doc_id", F.col("action").alias("scanned"))
+    home = users(spark, sf).select("user_id", F.col("tenant").alias("home_tenant"))
+    a = events(spark, sf).select("event_id", "tenant_id", "user_id", F.col("action").alias("audited"))
+    j = a.join(v, a.event_id == v.doc_id, "left").join(home, "user_id", "left")
+    return j.groupBy("tenant_id", "home_tenant", "audited", "scanned").agg(
+        F.count("*").alias("n"), F.count("home_tenant").alias("known_users"))
+
+
 @query(f"""WITH {_USERS}, t AS (SELECT tenant, count(*) AS users, count(*) FILTER (is_active) AS active FROM u GROUP BY ALL)
 SELECT count(*) AS tenants, count(*) FILTER (active * 10 >= users * 9) AS active_tenants, sum(users)::BIGINT AS users, sum(active)::BIGINT AS active_users FROM t""")
 def admin_overview(spark, sf):
