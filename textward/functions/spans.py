@@ -45,6 +45,33 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements that a fold adds to one array, so that growing it copies no more than these.
+BLOCK = 256
+
+
+def scan(items: Column, state: Column, kind: str, step, emit) -> Column:
+    """``struct<state, out>``: the state after all items, and what ``emit(state, item)`` gave before each step.
+
+    Items are folded in blocks, each with its own short array; one array that grows by every item would be copied
+    as often.
+    """
+    def pair(value: Column, out: Column) -> Column:
+        return F.struct(value.alias("state"), out.alias("out"))
+
+    def of_block(xs: Column, acc: Column, i: Column) -> Column:
+        inner = F.aggregate(
+            F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)), pair(acc["state"], F.array().cast(f"array<{kind}>")),
+            lambda a, x: pair(step(a["state"], x), F.concat(a["out"], F.array(emit(a["state"], x)))))
+        return let(inner, lambda a: pair(a["state"], F.concat(acc["out"], F.array(a["out"]))))
+
+    return let(items, lambda xs: F.aggregate(
+        F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")))
+        .otherwise(F.array().cast("array<int>")),
+        pair(state, F.array().cast(f"array<array<{kind}>>")),
+        lambda acc, i: of_block(xs, acc, i),
+        lambda acc: pair(acc["state"], F.flatten(acc["out"]))))
+
+
 def matches(text: Column, regex: str) -> Column:
     """All matched substrings, left to right."""
     return F.regexp_extract_all(text, F.lit(regex), F.lit(0))
@@ -65,12 +92,16 @@ def spans_text(text: str, regex: str, fields: dict | None = None, when: str | No
     begin = "acc.pos + length(z.`1`)"
     end = f"{begin} + length(z.`0`)"
     pattern = literal(regex)
-    return f"""CASE WHEN {when or rlike_text(text, regex)} THEN aggregate(
-      arrays_zip(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1)),
-      named_struct('pos', 0, 'out', CAST(array() AS {array_type})),
-      (acc, z) -> CASE WHEN z.`0` IS NULL THEN acc ELSE named_struct('pos', {end}, 'out', concat(acc.out,
-        array(named_struct({constant}'start', {begin}, 'end', {end}, 'value', z.`0`)))) END,
-      acc -> acc.out) ELSE CAST(array() AS {array_type}) END"""
+    return f"""CASE WHEN {when or rlike_text(text, regex)} THEN get(transform(array(
+      arrays_zip(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1))), zs -> aggregate(
+        sequence(0, CAST((size(zs) - 1) div {BLOCK} AS INT)),
+        named_struct('pos', 0, 'out', CAST(array() AS array<{array_type}>)),
+        (done, i) -> get(transform(array(aggregate(slice(zs, i * {BLOCK} + 1, {BLOCK}),
+          named_struct('pos', done.pos, 'out', CAST(array() AS {array_type})),
+          (acc, z) -> CASE WHEN z.`0` IS NULL THEN acc ELSE named_struct('pos', {end}, 'out', concat(acc.out,
+            array(named_struct({constant}'start', {begin}, 'end', {end}, 'value', z.`0`)))) END)),
+          b -> named_struct('pos', b.pos, 'out', concat(done.out, array(b.out)))), 0),
+        done -> flatten(done.out))), 0) ELSE CAST(array() AS {array_type}) END"""
 
 
 def replace_each(text: Column, values: Column, token: str) -> Column:

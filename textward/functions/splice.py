@@ -1,4 +1,4 @@
-"""Redaction as a right-to-left fold over a row's own hits."""
+"""Redaction of a row's own hits: pieces of the text and tokens joined in one pass, or a fold where hits overlap."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from . import catalog as C
 from .detect import HIT_TYPE, det_confidence, det_label, det_type
 from .masking import content_hash
-from .spans import array_text
+from .spans import array_text, let, scan
 
 LABELS = sorted({C.ENTITY_TYPES[t][1] for t, _, _ in C.ENTITY_PATTERNS})
 RECORD_TYPE = "array<struct<token:string,det:int,start:int,end:int,value:string>>"
+#: Characters of a chunk; cutting a piece out of a text costs the chunks at its ends, not all that stands before it.
+CHUNK = 512
 
 
 def merged(hits: Column, text: Column) -> Column:
@@ -29,47 +31,88 @@ def merged(hits: Column, text: Column) -> Column:
         ).alias("rank"),
     )))
     span = "struct<start:int,end:int,rank:struct<confidence:double,length:int,order:int>>"
-    start = F.struct(
-        F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("open"),
-    )
 
-    def step(acc: Column, h: Column) -> Column:
-        current = acc["open"]
-        grown = F.struct(
+    def grown(current: Column, h: Column) -> Column:
+        return F.when(current.isNull() | (h["start"] >= current["end"]), h).otherwise(F.struct(
             current["start"].alias("start"), F.greatest(current["end"], h["end"]).alias("end"),
             F.greatest(current["rank"], h["rank"]).alias("rank"),
-        )
-        return (
-            F.when(current.isNull(), F.struct(acc["done"].alias("done"), h.alias("open")))
-            .when(h["start"] < current["end"], F.struct(acc["done"].alias("done"), grown.alias("open")))
-            .otherwise(F.struct(
-                F.concat(acc["done"], F.array(current)).alias("done"), h.alias("open"),
-            ))
-        )
+        ))
+
+    def closed(current: Column, h: Column) -> Column:
+        return F.when(h["start"] >= current["end"], current)
 
-    unions = F.aggregate(
-        ordered, start, step,
-        lambda acc: F.array_compact(F.concat(acc["done"], F.array(acc["open"]))),
+    unions = let(
+        scan(ordered, F.lit(None).cast(span), span, grown, closed),
+        lambda done: F.array_compact(F.concat(done["out"], F.array(done["state"]))),
     )
-    return F.transform(unions, lambda u: F.struct(
+    return let(chunks(text), lambda parts: F.transform(unions, lambda u: F.struct(
         (-u["rank"]["order"]).alias("det"), u["start"].alias("start"), u["end"].alias("end"),
-        F.substr(text, u["start"] + 1, u["end"] - u["start"]).alias("value"),
-    )).cast(HIT_TYPE)
+        piece(parts, u["start"], u["end"]).alias("value"),
+    ))).cast(HIT_TYPE)
 
 
-def redaction(text: Column, hits: Column, mode: str = "mask") -> Column:
-    """``struct<text, records>`` after replacing every hit by its token.
+def chunks(text: Column) -> Column:
+    """The text in runs of CHUNK characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-    Hits are taken by start descending, ties in detection order, so a counter
-    ``_001`` names the last occurrence.  Offsets are those of the original text;
-    overlapping hits therefore cut into each other's tokens, as specified.  The
-    fold keeps the untouched left part implicit (``pos``) and carries only the
-    rewritten right part.
-    """
-    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(
-        (-h["start"]).alias("back"), h["det"].alias("det"), h["end"].alias("end"),
-        h["value"].alias("value"),
-    )))
+
+def piece(parts: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` to before ``end`` of the text that was cut into ``parts``."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    head, tail = F.coalesce(F.get(parts, first), F.lit("")), F.coalesce(F.get(parts, last), F.lit(""))
+    across = F.concat(
+        F.substr(head, start % CHUNK + 1),
+        F.when(last > first + 1, F.array_join(F.slice(parts, first + 2, last - first - 1), "")).otherwise(""),
+        F.left(tail, end % CHUNK),
+    )
+    return F.when(start >= end, "").when(first == last, F.substr(head, start % CHUNK + 1, end - start)).otherwise(across)
+
+
+def _token(label: Column, counter: Column) -> Column:
+    text = counter.cast("string")
+    return F.concat(F.lit("["), label, F.lit("_"), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text),
+                    F.lit("]"))
+
+
+def _hash_token(label: Column, value: Column) -> Column:
+    return F.concat(F.lit("["), label, F.lit(":HASH:"), content_hash(value, 12), F.lit("]"))
+
+
+def _joined(text: Column, ordered: Column, mode: str) -> Column:
+    """Redaction of hits that do not overlap, given from the last to the first: time in proportion to the text."""
+    def record(h: Column, token: Column) -> Column:
+        return F.struct(h["back"].alias("back"), token.alias("token"), h["det"].alias("det"), h["end"].alias("end"),
+                        h["value"].alias("value"))
+
+    def of_label(labelled: Column, label: str) -> Column:
+        return F.transform(F.filter(labelled, lambda h: h["label"] == label),
+                           lambda h, i: record(h, _token(h["label"], i + 1)))
+
+    def numbered(labelled: Column) -> Column:
+        return F.array_sort(F.concat(*[of_label(labelled, label) for label in LABELS]))
+
+    if mode == "hash":
+        records = F.transform(ordered, lambda h: record(h, _hash_token(det_label(h["det"]), h["value"])))
+    else:
+        records = let(F.transform(ordered, lambda h: F.struct(
+            h["back"].alias("back"), h["det"].alias("det"), h["end"].alias("end"), h["value"].alias("value"),
+            det_label(h["det"]).alias("label"))), numbered)
+
+    def spliced(parts: Column, forward: Column) -> Column:
+        ahead = F.transform(forward, lambda h, i: F.concat(
+            piece(parts, F.coalesce(F.get(forward, i - 1)["end"], F.lit(0)), -h["back"]), h["token"]))
+        return F.concat(F.array_join(ahead, ""), piece(parts, F.element_at(forward, -1)["end"], F.length(text)))
+
+    return let(records, lambda back: F.struct(
+        let(chunks(text), lambda parts: let(F.reverse(back), lambda forward: spliced(parts, forward))).alias("text"),
+        F.transform(back, lambda h: F.struct(
+            h["token"].alias("token"), h["det"].alias("det"), (-h["back"]).alias("start"), h["end"].alias("end"),
+            h["value"].alias("value"))).alias("records"),
+    ))
+
+
+def _folded(text: Column, ordered: Column, mode: str) -> Column:
+    """Redaction of overlapping hits: each is spliced over what those behind it have left."""
     start = F.struct(
         F.length(text).alias("pos"), F.lit("").alias("tail"),
         F.array_repeat(F.lit(0), len(LABELS)).alias("counts"),
@@ -79,12 +122,7 @@ def redaction(text: Column, hits: Column, mode: str = "mask") -> Column:
     def step(acc: Column, h: Column) -> Column:
         label = det_label(h["det"])
         slot = F.array_position(F.expr(array_text(LABELS)), label).cast("int") - 1
-        if mode == "hash":
-            token = F.concat(F.lit("["), label, F.lit(":HASH:"), content_hash(h["value"], 12), F.lit("]"))
-        else:
-            counter = (F.get(acc["counts"], slot) + 1).cast("string")
-            padded = F.when(F.length(counter) < 3, F.lpad(counter, 3, "0")).otherwise(counter)
-            token = F.concat(F.lit("["), label, F.lit("_"), padded, F.lit("]"))
+        token = _hash_token(label, h["value"]) if mode == "hash" else _token(label, F.get(acc["counts"], slot) + 1)
         rest = F.when(
             h["end"] <= acc["pos"],
             F.concat(F.substr(text, h["end"] + 1, acc["pos"] - h["end"]), acc["tail"]),
@@ -100,11 +138,30 @@ def redaction(text: Column, hits: Column, mode: str = "mask") -> Column:
             F.concat(acc["records"], F.array(record)).alias("records"),
         )
 
-    done = F.aggregate(ordered, start, step, lambda acc: F.struct(
+    return F.aggregate(ordered, start, step, lambda acc: F.struct(
         F.concat(F.left(text, acc["pos"]), acc["tail"]).alias("text"), acc["records"].alias("records"),
     ))
+
+
+def redaction(text: Column, hits: Column, mode: str = "mask") -> Column:
+    """``struct<text, records>`` after replacing every hit by its token.
+
+    Hits are taken by start descending, ties in detection order, so a counter
+    ``_001`` names the last occurrence.  Offsets are those of the original text;
+    overlapping hits therefore cut into each other's tokens, as specified.  Only
+    rows with such hits are folded hit by hit; all others are joined from pieces.
+    """
+    def done(ordered: Column) -> Column:
+        overlap = F.exists(F.transform(ordered, lambda h, i: h["end"] > -F.get(ordered, i - 1)["back"]),
+                           lambda x: F.coalesce(x, F.lit(False)))
+        return F.when(overlap, _folded(text, ordered, mode)).otherwise(_joined(text, ordered, mode))
+
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(
+        (-h["start"]).alias("back"), h["det"].alias("det"), h["end"].alias("end"),
+        h["value"].alias("value"),
+    )))
     untouched = F.struct(text.alias("text"), F.array().cast(RECORD_TYPE).alias("records"))
-    return F.when(F.size(hits) > 0, done).otherwise(untouched)
+    return F.when(F.size(hits) > 0, let(ordered, done)).otherwise(untouched)
 
 
 def record_types(records: Column) -> Column:

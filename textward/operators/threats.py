@@ -79,6 +79,8 @@ def poisoning_threats(text: str, folded: str = "_hay") -> Column:
     guards = {
         "HTML Comment Injection": f"contains(`{text}`, '-->') AND ",
         "Exfiltration URL": f"contains(`{text}`, '=') AND ",
+        "Conditional Trigger": "(" + " OR ".join(
+            f"contains(`{folded}`, '{x}')" for x in ("say", "tell", "respond")) + ") AND ",
         "Zero-Width Characters": f"octet_length(`{text}`) > length(`{text}`) AND ",
     }
 
