@@ -359,3 +359,40 @@ def test_remainder_is_crc32(spark):
 
     out = spark.range(50).select("id", remainder(F.col("id"), 4).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 4 for r in out)
+
+
+# ------------------------------------------------------------------ whole results
+@pytest.mark.parametrize("scale", [1, 10**6])
+def test_short_copies_are_found_at_any_offset_in_any_corpus(scale):
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    items = leakage._items([(n, " ".join(rng.choices("the of and to in a is that".split(), k=n // 2)
+                                         + rng.sample(vocabulary, n - n // 2))) for n in range(3, 41)])
+    total = 1000 * scale
+    weights = np.log((total + 1) / (np.array([rng.choice([2, 40, 400]) for _ in items.terms]) * scale + 1)) + 0.05
+    rows, owner = leakage._item_passages(items)
+    space = leakage._leading(leakage._gram_times(rows, weights, r := np.random.default_rng(1).standard_normal(
+        (len(items.terms), leakage.SKETCH)).astype(np.float32)), r)
+    index = leakage.Index(items, weights, float(np.log(total + 1) + 0.05), space,
+                          leakage._unit(leakage._project(rows, weights, space)), owner, leakage._anchors(items, weights))
+    foreign = lambda n: [f"foreign{rng.randrange(9999)}" for _ in range(n)]
+    terms = items.terms
+    for i, n in enumerate(items.ids):
+        for offset in range(16):
+            t = np.concatenate([np.full(offset, -1), items.words[i], np.full(40, -1)])
+            words = W.hash_words([" ".join(foreign(offset) + ["x"] * n + foreign(40))], W.ALNUM)[0].copy()
+            words[t >= 0] = terms[t[t >= 0]]
+            found = leakage._search(FakeWords(words), index)
+            assert (0, n, 1.0) in {f[:3] for f in found}, (n, offset)
+
+
+class FakeWords:
+    """One document of the given word hashes."""
+
+    first = 0
+
+    def __init__(self, hashes):
+        self.hash = hashes
+
+    def bounds(self):
+        return np.array([0, len(self.hash)])

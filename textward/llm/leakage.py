@@ -4,9 +4,10 @@ Documents and items are cut into passages of WIDTH words.  Terms are the words o
 document frequency over all documents.  A randomised singular value decomposition of the TF-IDF rows of passages (the
 items' own, and every document passage whose weight lies mostly in the terms) is computed in one distributed pass:
 each task adds up A'A times a random matrix, and the small sum yields the leading right singular vectors.  Passages
-near an item's passage in that space are candidates.  A candidate is a leak if the longest common subsequence of the
-item's words and the words around the passage is long enough: a high share of the item alone, or a lower share that
-holds the item's answer (its last sentence) too.
+near an item's passage in that space are candidates.  So is every passage with an anchor of an item, one of its rarest
+words, one more of them than a leak may miss: copies are found at any place and length, however many documents there
+are.  A candidate is a leak if the longest common subsequence of the item's words and the words around the passage is
+long enough: a high share of the item alone, or a lower share that holds the item's answer (its last sentence) too.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ CERTAIN, LIKELY, ANSWER = 0.8, 0.65, 0.5
 SHORT = 8
 #: Items whose terms, latent space and passages one pass over the documents handles; bounds what is broadcast.
 BLOCK_ITEMS = 2_000
-#: Passages that are compared at once.
-ROWS = 4_096
+#: Passages that are compared at once, and anchors that are looked up at once (more only within one document).
+ROWS, PAIRS = 4_096, 1 << 20
 
 FOUND = "array<struct<item_id:bigint,share:double,cosine:double,first:int>>"
 
@@ -50,6 +51,14 @@ class Items(NamedTuple):
     buckets: np.ndarray  # of the hashes' leading bits: whether any term has them
 
 
+class Anchors(NamedTuple):
+    """Items by anchor: those of term ``x`` are ``items[start[x] : start[x + 1]]``; ``least`` words of an item are a leak."""
+
+    start: np.ndarray
+    items: np.ndarray
+    least: np.ndarray
+
+
 class Index(NamedTuple):
     items: Items
     weights: np.ndarray  # by term
@@ -57,6 +66,7 @@ class Index(NamedTuple):
     space: np.ndarray  # terms x RANK
     latent: np.ndarray  # item passages x RANK
     owner: np.ndarray  # item of each item passage
+    anchors: Anchors
 
 
 def _items(rows: list[tuple[int, str]]) -> Items:
@@ -211,6 +221,19 @@ def _item_passages(items: Items) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(owner)
 
 
+def _anchors(items: Items, weights: np.ndarray) -> Anchors:
+    size = np.array([len(x) for x in items.words], np.int64)
+    least = np.where(size < SHORT, size, np.ceil(LIKELY * size - 1e-9).astype(np.int64))
+    term, item = [], []
+    for i, x in enumerate(items.words):
+        rare = np.unique(x[np.argsort(-weights[x], kind="stable")[: size[i] - least[i] + 1]])
+        term.append(rare)
+        item.append(np.full(len(rare), i))
+    terms, owners = np.concatenate(term), np.concatenate(item)
+    start = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(weights)))])
+    return Anchors(start, owners[np.argsort(terms, kind="stable")], least)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -257,7 +280,7 @@ def _index(texts: DataFrame, block: list[tuple[int, str]]) -> list[Index]:
         x = np.frombuffer(part.as_py(), np.float32).reshape(-1, SKETCH)
         sketch[at : at + len(x)] += x
     space = _leading(sketch, random)
-    return [Index(items, weights, other, space, _unit(_project(rows, weights, space)), owner)]
+    return [Index(items, weights, other, space, _unit(_project(rows, weights, space)), owner, _anchors(items, weights))]
 
 
 def common(item: np.ndarray, region: np.ndarray) -> int:
@@ -279,6 +302,9 @@ def _judge(items: Items, i: int, t: np.ndarray, first: int) -> float | None:
     item = items.words[i]
     size = len(item)
     region = t[max(first - size, 0) : first + WIDTH + size]
+    around = set(region.tolist())
+    if sum(x in around for x in item.tolist()) < (LIKELY * size if size >= SHORT else size):
+        return None
     if size < SHORT:
         whole = region[: len(region) - size + 1, None] if size == 1 else \
             np.lib.stride_tricks.sliding_window_view(region, size) if len(region) >= size else np.zeros((0, size))
@@ -292,6 +318,53 @@ def _judge(items: Items, i: int, t: np.ndarray, first: int) -> float | None:
     return None
 
 
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The ranges from ``start``, each of ``count`` numbers, one after the other."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _anchored(w: W.Words, t: np.ndarray, index: Index) -> Iterator[tuple[int, int, list[int]]]:
+    """Documents and items, with the first words of the passages that hold an anchor of the item.
+
+    Left out are only pairs where the whole document lacks so many of the item's words that no part can be a leak.
+    """
+    anchors, bound = index.anchors, w.bounds()
+    own = np.repeat(np.arange(len(bound) - 1), np.diff(bound))
+    at = np.flatnonzero(t >= 0)
+    held = np.unique(own[at] * len(index.weights) + t[at])
+    at = at[np.diff(anchors.start)[t[at]] > 0]
+    doc, count = own[at], np.diff(anchors.start)[t[at]]
+    last = np.maximum(-(-(np.diff(bound)[doc] - WIDTH) // STEP), 0)
+    passage = np.minimum((at - bound[doc]) // STEP, last)
+    item_start = np.concatenate([[0], np.cumsum([len(x) for x in index.items.words])])
+    item_terms = np.concatenate(index.items.words)
+    cut = np.searchsorted(doc, np.arange(len(bound)))  # documents stay whole
+    total, a = np.concatenate([[0], np.cumsum(count)]), 0
+    while a < len(bound) - 1:
+        b = max(int(np.searchsorted(total[cut], total[cut[a]] + PAIRS, "right")) - 1, a + 1)
+        x = slice(cut[a], cut[b])
+        item = anchors.items[_spread(anchors.start[t[at[x]]], count[x])]
+        rows = np.stack([np.repeat(doc[x], count[x]), item, np.repeat(passage[x], count[x])], axis=1)
+        a = b
+        if not len(rows):
+            continue
+        rows = rows[np.lexsort(rows.T[::-1])]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+        pair_doc, pair_item = rows[first, 0], rows[first, 1]
+        size = item_start[pair_item + 1] - item_start[pair_item]
+        key = np.repeat(pair_doc, size) * len(index.weights) + item_terms[_spread(item_start[pair_item], size)]
+        there = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key
+        enough = np.add.reduceat(there, np.cumsum(size) - size, dtype=np.int64) >= anchors.least[pair_item]
+        end = np.append(first[1:], len(rows))
+        for k in np.flatnonzero(enough).tolist():
+            yield int(pair_doc[k]), int(pair_item[k]), (STEP * np.unique(rows[first[k] : end[k], 2])).tolist()
+
+
+def _cosine(index: Index, i: int, t: np.ndarray, first: int) -> float:
+    z = _unit(_project(_rows(t, np.array([first]), np.array([len(t)])), index.weights, index.space))
+    return float((z @ index.latent[index.owner == i].T).max())
+
+
 def _search(w: W.Words, index: Index) -> Iterator[tuple[int, int, float, float, int]]:
     """Document, item, share, cosine and first word of every leak in some documents."""
     t = _terms(w.hash, index.items)
@@ -303,14 +376,20 @@ def _search(w: W.Words, index: Index) -> Iterator[tuple[int, int, float, float,
         cosine = z @ index.latent.T
         row, column = np.nonzero(cosine >= NEAR)
         for r, c, x in zip((row + at).tolist(), index.owner[column].tolist(), cosine[row, column].tolist(), strict=True):
-            places = near.setdefault((int(found.doc[r]), c), {})
-            places[r] = max(x, places.get(r, 0.0))
+            doc = int(found.doc[r])
+            places, first = near.setdefault((doc, c), {}), int(found.first[r] - bound[doc])
+            places[first] = max(x, places.get(first, 0.0))
+    for doc, item, firsts in _anchored(w, t, index):
+        places = near.setdefault((doc, item), {})
+        for first in firsts:
+            places.setdefault(first, -1.0)  # after those that are near
     for (doc, item), places in near.items():
         own = t[bound[doc] : bound[doc + 1]]
-        for r, x in sorted(places.items(), key=lambda p: (-p[1], p[0])):
-            first = int(found.first[r] - bound[doc])
+        for first, x in sorted(places.items(), key=lambda p: (-p[1], p[0])):
             share = _judge(index.items, item, own, first)
             if share is not None:
+                if x < 0:
+                    x = _cosine(index, item, own, first)
                 yield w.first + doc, index.items.ids[item], share, min(x, 1.0), first
                 break
 
