@@ -199,6 +199,22 @@ def test_whole_files_are_read_and_unread_ones_are_marked(spark):
     assert rows[5]["text"] == "a@x.org\nb@y.org, c@y.org\nHi\nhello"
 
 
+def test_nested_and_encoded_mails(spark):
+    nested = ("From: a@x.org\nTo: b@y.org\nSubject: =?utf-8?Q?at_a=40b.org?=\nContent-Type: multipart/mixed; boundary=m\n\n"
+              "--m\nContent-Type: multipart/alternative; boundary=n\n\n"
+              "--n\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n"
+              "write a=40b.org, caf=C3=A9, so=\nft\n--n\nContent-Type: text/html\n\n<p>x</p>\n--n--\n"
+              "--m\nContent-Type: application/pdf\nContent-Transfer-Encoding: base64\n\nJVBERg==\n--m--\n")
+    single = "From: é@x.org\nContent-Transfer-Encoding: quoted-printable\n\na=40b.org\r\n"
+    df = spark.createDataFrame([(1, "eml", nested.encode()), (2, "eml", single.encode()), (3, "eml", None), (4, "txt", b"t"),
+                                (5, "eml", b"")], "id int, ext string, content binary")
+    rows = {r["id"]: r for r in FS.extract_text(df, "id").collect()}
+    assert rows[1]["text"] == "a@x.org\nb@y.org\nat a@b.org\nwrite a@b.org, café, soft"
+    assert rows[2]["text"] == "é@x.org\n\n\na@b.org\r\n"
+    assert [rows[i]["extracted"] for i in (1, 2, 3, 4, 5)] == [True, True, False, True, True]
+    assert rows[3]["error"] == "no content" and rows[4]["text"] == "t"
+
+
 def test_admission(spark):
     df = spark.createDataFrame([("A.PDF", 10), ("noext", 10), ("x.txt", 60_000_000)], "filename string, size_bytes long")
     assert [r["reject_reason"] for r in FS.admission(df).collect()] == [None, "extension", "size"]

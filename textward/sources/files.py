@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import email
+import re
+from collections.abc import Iterator
+from email.errors import MessageError
+from email.header import decode_header
+from email.message import Message
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,37 +40,46 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return admission(named).where("admitted").drop("reject_reason", "admitted")
 
 
-def _header(name: str, head: Column) -> Column:
-    """Value of a mail header, folded lines joined; null without it."""
-    value = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*(.*(?:\n[ \t]+.*)*)", 1)
-    return F.when(head.rlike(rf"(?im)^{name}:"), F.regexp_replace(value, r"\n[ \t]+", " "))
-
-
-def _decoded(part: Column) -> Column:
-    """Body of a mail part after its transfer encoding; soft line breaks of quoted-printable are joined."""
-    head, body = F.substring_index(part, "\n\n", 1), F.regexp_replace(part, r"(?s)^.*?\n\n", "")
-    encoding = F.lower(F.coalesce(_header("Content-Transfer-Encoding", head), F.lit("")))
-    plain = F.make_valid_utf8(F.try_to_binary(F.regexp_replace(body, r"\s", ""), F.lit("base64")).cast("string"))
-    return F.when(encoding.startswith("base64"), F.coalesce(plain, F.lit(""))) \
-        .when(encoding.startswith("quoted"), F.regexp_replace(body, "=\n", "")).otherwise(body)
-
-
-def _mail(raw: Column) -> Column:
-    """Sender, recipient, subject and the text parts of a message, a line each."""
-    head = F.substring_index(raw, "\n\n", 1)
-    kind = F.coalesce(_header("Content-Type", head), F.lit(""))
-    boundary = F.regexp_extract(kind, '(?i)boundary="?([^";]+)', 1)
-    parts = F.split(raw, F.concat(F.lit("(?m)^--\\Q"), boundary, F.lit("\\E(?:--)?[ ]*\n?")))
-    own = F.filter(parts, lambda p, i: (i > 0) & (
-        p.startswith("\n") | F.substring_index(p, "\n\n", 1).rlike("(?i)content-type: *text/plain")))
-    texts = F.when(F.lower(kind).startswith("multipart/") & (boundary != ""), F.transform(own, _decoded)) \
-        .otherwise(F.array(_decoded(raw)))
-    return F.array_join(F.concat(F.array(*[F.coalesce(_header(h, head), F.lit("")) for h in ("From", "To", "Subject")]),
-                                 texts), "\n")
+def _header(message: Message, name: str) -> str:
+    """Value of a mail header, folded lines joined and encoded words decoded; empty without it."""
+    raw = next((str(v) for k, v in message.raw_items() if k.lower() == name), "")
+    value = re.sub(r"\r?\n[ \t]+", " ", raw.encode("utf-8", "surrogateescape").decode("utf-8", "replace"))
+    if "=?" not in value:
+        return value
+    try:
+        return "".join(x if isinstance(x, str) else x.decode(charset or "raw-unicode-escape", "replace")
+                       for x, charset in decode_header(value))
+    except (ValueError, LookupError, MessageError):
+        return value
+
+
+def _mail(content: bytes) -> str:
+    """Sender, recipient, subject and the text parts of a message at any depth, decoded, a line each."""
+    message = email.message_from_bytes(content)
+    parts = [_header(message, name) for name in ("from", "to", "subject")]
+    for part in message.walk():
+        if not part.is_multipart() and (part.get_content_type() == "text/plain" or not message.is_multipart()):
+            parts.append((part.get_payload(decode=True) or b"").decode("utf-8", "replace"))
+    return "\n".join(parts)
+
+
+def _mails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with ``text`` or ``error`` filled in from ``_mail``, which leaves."""
+    for batch in batches:
+        columns = {name: batch.column(name) for name in batch.schema.names if name != "_mail"}
+        texts, errors = columns["text"].to_pylist(), columns["error"].to_pylist()
+        for i, content in enumerate(batch.column("_mail")):
+            if content.is_valid:
+                try:
+                    texts[i] = _mail(content.as_py())
+                except Exception:  # whatever a broken mail raises, it is not judged as clean
+                    errors[i] = "not a mail"
+        columns |= {"text": pa.array(texts, columns["text"].type), "error": pa.array(errors, columns["error"].type)}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def extract_text(files: DataFrame, *keys: str) -> DataFrame:
-    """``ext, text, extracted, error`` of each file (``ext``, ``content``), by column expressions alone.
+    """``ext, text, extracted, error`` of each file (``ext``, ``content``); mails are parsed by ``email``, the rest by columns.
 
     The whole file is text: bytes that are no UTF-8 become U+FFFD, JSON is parsed (so escapes in its strings are
     resolved) and written again, CSV stays as it is, mails give their headers and text parts.  A file that cannot be
@@ -71,9 +88,10 @@ def extract_text(files: DataFrame, *keys: str) -> DataFrame:
     ext = F.col("ext")
     raw = F.make_valid_utf8(F.col("content").cast("string"))
     document = F.try_parse_json(raw).cast("string")
-    mail = _mail(F.replace(raw, F.lit("\r\n"), F.lit("\n")))
-    text = F.when(ext.isin("txt", "csv"), raw).when(ext == "json", document).when(ext == "eml", mail)
+    text = F.when(ext.isin("txt", "csv"), raw).when(ext == "json", document)
     error = F.when(F.col("content").isNull(), "no content").when(~ext.isin("txt", "csv", "json", "eml"), "no reader") \
         .when((ext == "json") & document.isNull(), "not JSON")
-    return files.select(*keys, "ext", text.alias("text"), F.coalesce(error.isNull(), F.lit(False)).alias("extracted"),
-                        error.alias("error"))
+    read = files.select(*keys, "ext", text.alias("text"), error.alias("error"),
+                        F.when(ext == "eml", F.col("content")).alias("_mail"))
+    return read.mapInArrow(_mails, read.drop("_mail").schema).select(
+        *keys, "ext", "text", F.coalesce(F.col("error").isNull(), F.lit(False)).alias("extracted"), "error")
