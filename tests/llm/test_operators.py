@@ -396,3 +396,38 @@ class FakeWords:
 
     def bounds(self):
         return np.array([0, len(self.hash)])
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark, empty):
+    rng = random.Random(12)
+    unique = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = unique(), unique(), unique(), unique()
+    near = lambda t: t + " tail"
+    rows = [(1, a), (2, near(a)), (2, b), (None, c), (None, near(c)), (None, d), (5, near(d)), (6, None), (None, None),
+            (None, None), (None, ""), (6, "a b"), (7, "A  b")]
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(docs(spark, rows)).collect()]
+    assert len([t for _, t in kept if t in (c, near(c))]) == 1
+    kept.remove((None, c) if (None, c) in kept else (None, near(c)))
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (5, near(d)), (6, None), (None, None), (None, ""), (6, "a b")], key=str)
+    assert jaccard.one_of_each(empty).count() == 0
+    groups = {(r.doc_id, r.component_id) for r in jaccard.groups(docs(spark, [(None, c), (None, near(c)), (9, near(c) + " x")])).collect()}
+    assert groups == {(None, 9), (9, 9)}
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    table = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in ODD + list(enumerate(good, 100)) + [(None, t) for t in good]],
+                                  "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, sf).collect()
+        if name == "near_duplicates":
+            named = [(i, t) for i, t in ODD if i is not None] + list(enumerate(good, 100))
+            assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted({g for _, _, g in plain_groups(named)})
+            assert [r.text for r in out if r.doc_id is None] == ["the and of to"]
+        elif name == "pieces":
+            assert len(out) == table.count()
+        else:  # equal texts share their fate, whatever their id
+            assert {r.text for r in out if r.doc_id is None} >= {r.text for r in out if (r.doc_id or 0) >= 100} != set()

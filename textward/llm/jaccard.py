@@ -79,7 +79,7 @@ def _signatures(n: int):
         for batch in batches:
             sets = ngram_sets(batch.column("text"), n)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "doc_id": batch.column("doc_id"), "row": batch.column("row"), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([_name(s) if len(s) else None for s in sets], pa.int64())})
     return run
 
@@ -372,18 +372,21 @@ def _pairs(a: DataFrame, percent: int) -> DataFrame:
         .distinct()
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80
-          ) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80,
+          row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Sets of all rows, and links that join the same nodes as all links between different sets would.
 
-    The first frame has ``doc_id, n, node`` for every row (node null for an empty set), the second
-    ``a, b, shared``.  Null texts have empty sets.
+    The first frame has ``doc_id, row, n, node`` for every row (node null for an empty set), the second
+    ``a, b, shared``.  Null texts have empty sets.  ``row`` is a hash of the row, of its text if not given; the key may
+    be null and repeat.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    body = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), body.alias("text"),
+                       (F.xxhash64(body) if row is None else row).alias("row"))
     signatures = staged(rows.mapInArrow(_signatures(n), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, "
-                                                        "n bigint, node bigint"))
+                                                        "row bigint, n bigint, node bigint"))
     nodes = signatures.filter(F.col("node").isNotNull()).groupBy("node") \
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+        .agg(F.min("row").alias("row"), F.max("n").alias("n"))
     spread = signatures.agg(F.sum("n")).first()[0] or 0
 
     def by_range(ranged: DataFrame) -> DataFrame:
@@ -393,8 +396,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
         .mapInArrow(_unshared, "node bigint, unshared bigint").groupBy("node").agg(F.sum("unshared").alias("unshared"))
     slack = F.floor((100 - percent) * F.col("n") / 100)
     left = staged(nodes.join(lone, "node", "left").filter(F.coalesce("unshared", F.lit(0)) <= slack)
-                  .select("doc_id", "n"))
-    members = rows.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("text") \
+                  .select("row", "n"))
+    members = rows.select("text", "row").join(left.select("row").distinct(), "row", "left_semi").select("text") \
         .mapInArrow(_members(n), "node bigint, n bigint, members binary")
     sets = staged(members.dropDuplicates(["node"]))
     kept = left.agg(F.sum("n")).first()[0] or 0
@@ -429,7 +432,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     Words are what ASCII white space separates, A-Z lower-cased; a set holds the different runs of n words, or the
     whole text if it has fewer.  Two rows are linked if 100 * shared >= percent * united.  Rows with the same set are
     linked; rows without words are linked with nothing.  Rows that repeat a key are judged each by its own text and
-    may differ.  An empty table gives an empty result.
+    may differ.  Null keys count after all others: a group has a null one only if all its rows do.  An empty table gives
+    an empty result.
     """
     signatures, found = links(docs, key, text, n, percent)
     labels = components(found)
@@ -443,3 +447,21 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     without = signatures.filter(F.col("node").isNull()).withColumn("component_id", F.col("doc_id"))
     return with_words.unionByName(without, allowMissingColumns=True) \
         .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group: by smallest key (null ones last), then by set, then by a hash of all columns.
+
+    Rows without words are linked with nothing and stay.  Rows that are equal in all columns count once.  Keys may be
+    null and repeat; rows that share one are judged each by its own text.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(*columns, *[c.isNull() for c in columns])  # the hash itself passes over nulls
+    signatures, found = links(docs, key, text, n, percent, row)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "node", "row")
+    nodes = signatures.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(rank).alias("first"))
+    chosen = nodes.join(components(found), "node", "left").groupBy(F.coalesce("label", "node")) \
+        .agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    kept = chosen.union(signatures.filter(F.col("node").isNull()).select("row"))
+    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row", key]) \
+        .select(*columns)
