@@ -431,3 +431,16 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert len(out) == table.count()
         else:  # equal texts share their fate, whatever their id
             assert {r.text for r in out if r.doc_id is None} >= {r.text for r in out if (r.doc_id or 0) >= 100} != set()
+
+
+def test_neighbours_decide_inside_an_article_too():
+    prose = "It is the end of the road and we are not there yet, but that is what they said to all of us. " * 4
+    advert, form = '<div class="ad">Buy it</div>', "<form>Your name</form>"
+    page = f"<article><p>{prose}</p>{advert}<p>Great offers every day</p>{form}<p>Short end.</p></article>"
+    assert html.main_text(page) == f"{prose.strip()}\n\nShort end."
+    foreign = "Zażółć gęślą jaźń " * 20  # no function words at hand: nothing certain, so nothing goes
+    assert html.main_text(f"<article>{advert}<p>{foreign}</p>{form}</article>") == foreign.strip()
+    assert html.main_text(f"<article><p>{prose}</p>{advert}<p>{foreign}</p>{form}</article>") == f"{prose.strip()}\n\n{foreign.strip()}"
+    outside = f"<article><p>{prose}</p></article><div>{prose}</div><div>And so it was.</div><div>{prose}</div>"
+    assert "And so it was." in html.main_text(outside)
+    assert "Alone" not in html.main_text(f"<article><p>{prose}</p></article><div>Alone</div>")

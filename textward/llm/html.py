@@ -3,8 +3,9 @@
 A page is cut into blocks at block-level tags.  The first pass classifies each block: what stands in menus, headers,
 footers, sidebars, forms, notices, adverts or comments is boilerplate; elsewhere link density, length and the share
 of function words decide, and short or middling blocks stay open.  The second pass gives open blocks the label of
-their nearest decided neighbours; inside an article or main element, boilerplate needs its own evidence, so open
-blocks there count as text unless both neighbours say otherwise.
+their nearest decided neighbours.  Inside an article or main element boilerplate needs its own evidence: open blocks
+there count as text, but for those up to LONG characters whose neighbours in it are both boilerplate, if the article
+has certain text at all.  Outside it, on pages that have one, both neighbours must be text.
 """
 
 from __future__ import annotations
@@ -149,6 +150,8 @@ def _first_pass(b: Block) -> str:
     links = b.linked / max(len(b.text), 1)
     if b.apart or links > LINKS and not (b.main and links < 0.5):
         return "other"
+    if b.main and links > LINKS:
+        return "open"
     if not b.main and ("©" in b.text or b.text.lower().startswith("copyright")):
         return "other"
     if b.heading or len(b.text) < SHORT:
@@ -156,9 +159,7 @@ def _first_pass(b: Block) -> str:
     stops = sum(w.strip(".,;:!?\"'()").lower() in _STOPS for w in words) / len(words)
     if stops >= STOPS_HIGH and len(b.text) > LONG:
         return "text"
-    if stops >= STOPS_LOW or b.main:
-        return "open" if not b.main else "text"
-    return "other"
+    return "open" if stops >= STOPS_LOW or b.main else "other"
 
 
 def main_text(page: str | None) -> str:
@@ -174,6 +175,7 @@ def main_text(page: str | None) -> str:
     labels = [_first_pass(b) for b in found]
     decided = [i for i, x in enumerate(labels) if x != "open"]
     whole = any(b.main for b in found)
+    certain = any(b.main and x == "text" for b, x in zip(found, labels, strict=True))
     before, after, j = -1, 0, 0
     final = list(labels)
     for i, label in enumerate(labels):
@@ -185,9 +187,9 @@ def main_text(page: str | None) -> str:
         after = decided[j] if j < len(decided) else -1
         near = [labels[x] for x in (before, after) if x >= 0 and found[x].main == found[i].main]
         if found[i].main:
-            final[i] = "text"
+            final[i] = "other" if near == ["other"] * 2 and certain and len(found[i].text) <= LONG else "text"
         elif not near or whole:
-            final[i] = "other"
+            final[i] = "text" if near == ["text"] * 2 else "other"
         elif len(set(near)) == 1:
             final[i] = near[0]
         else:  # between text and boilerplate: headings go with what follows, the rest with the nearer one
