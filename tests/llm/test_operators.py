@@ -444,3 +444,16 @@ def test_neighbours_decide_inside_an_article_too():
     outside = f"<article><p>{prose}</p></article><div>{prose}</div><div>And so it was.</div><div>{prose}</div>"
     assert "And so it was." in html.main_text(outside)
     assert "Alone" not in html.main_text(f"<article><p>{prose}</p></article><div>Alone</div>")
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = ODD + [(None, f"null {i}") for i in range(50)] + [(77, f"hot {i}") for i in range(200)] + [(i, "x") for i in range(100, 200)]
+    names = [f"s{i}" for i in range(5)]
+    table = docs(spark, rows).select("doc_id", "text")
+    shards.write_shards(table, str(tmp_path / "out"), "doc_id", names, files=3, size=1009)
+    key = lambda r: (str(r[0]), str(r[1]), r[2])
+    written = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", "shard").collect()]
+    placed = [tuple(r) for r in shards.place(table, "doc_id", names, 1009).select("doc_id", "text", "shard").collect()]
+    assert len(written) == len(rows) and sorted(written, key=key) == sorted(placed, key=key)
+    assert len({s for i, _, s in written if i is None}) == len({s for i, _, s in written if i == 77}) == 1
+    assert all(len(list(folder.glob("*.parquet"))) <= 3 for folder in (tmp_path / "out").glob("shard=*"))
