@@ -126,7 +126,7 @@ def plain_spans(text, law):
         if re.search("[+/]", m[0]) and re.search("[_-]", m[0]) and len(m[0]) >= 16:
             parts = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer("[^+/]+", m[0])]
         for a, b in parts:
-            if b - a < 16 or any(s < b and a < t for s, _, t in base):
+            if b - a < 16 or text[a:b].isdigit() or any(s < b and a < t for s, _, t in base):
                 continue
             e, total = plain_total(text[a:b])
             n = math.sqrt(min(b - a, secrets.LENGTHS[-1]))

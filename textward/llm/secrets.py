@@ -1,6 +1,7 @@
 """Secrets: three patterns, and strings that look drawn at random.
 
-A candidate is a run of at least 16 characters of the usual encodings.  The smallest alphabet that holds it (16, 32,
+A candidate is a run of at least 16 characters of the usual encodings; digits alone are a number (of a card, an order,
+a time), however random, and no candidate.  The smallest alphabet that holds it (16, 32,
 62 or 64 symbols) is inferred, and three tests compare it with uniform independent draws from that alphabet: the
 chi-squared test of uniformity (through the number of equal pairs, with its exact moments), a runs test over classes
 of symbols, and the serial correlation of neighbours.  Ordinary strings have too many equal pairs, too few runs and
@@ -277,8 +278,11 @@ def _tested(rows: _Rows, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray
     if not len(a):
         return a, b, a, a.astype(float)
     lengths = b - a
-    raw = rows.data[np.arange(lengths.sum()) + np.repeat(a - (np.cumsum(lengths) - lengths), lengths)]
-    return a, b, *battery(raw, lengths)
+    first = np.cumsum(lengths) - lengths
+    raw = rows.data[np.arange(lengths.sum()) + np.repeat(a - first, lengths)]
+    named = ~np.logical_and.reduceat(_CLASS[raw] == 2, first)  # not a number
+    a, b, raw = a[named], b[named], raw[np.repeat(named, lengths)]
+    return (a, b, *battery(raw, b - a)) if len(a) else (a, b, a, a.astype(float))
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
