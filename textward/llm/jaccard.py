@@ -4,10 +4,10 @@ N-grams are 64-bit hashes; their global order is cut into fragments, and every c
 fragment alone.
 
 1. Every text gives a set, named by a hash of its members.  Equal sets are one node from here on.
-2. Half of the order is cut into ranges of bounded size.  Each range counts, for each node, the n-grams that no other
-   node holds.  A node with more of them, summed over ranges, than its size allows a partner to miss is done.  What
-   remains is what has copies, whatever lines or passages other documents share.
-3. For the remaining nodes all ranges give each n-gram's frequency and one hub, of the nodes that hold it the one
+2. In the lower half of the order, the n-grams that no other node holds are counted for each node.  A node with more
+   of them than its size allows a partner to miss is done.  What remains is what has copies, whatever lines or passages
+   other documents share.
+3. For the remaining nodes the order is cut into ranges of bounded size, and each range gives each n-gram's frequency and one hub, of the nodes that hold it the one
    whose n-grams are most frequent.  A node's prefix is its rarest n-grams, one more than it may miss.  Two linked nodes
    share one of their prefixes, at places low enough for the overlap that their sizes need.
 4. Each node is compared with the hub of most of its n-grams.  Overlaps are counted in each fragment, summed for each
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .storage import staged
 
-#: N-grams of a range that are sorted together in one task, and least number of ranges of the first count.
-RANGE, RANGES = 2_000_000, 32
+#: N-grams of a range that are sorted together in one task.
+RANGE = 2_000_000
 #: Fragments in which the overlap of a pair is counted.
 FRAGMENTS = 8
 #: Times that open nodes are compared with one node for each of their n-grams before all open pairs are.
@@ -104,17 +104,14 @@ class _Part(NamedTuple):
     members: np.ndarray
 
 
-def _to_ranges(nodes: np.ndarray, sets: list[np.ndarray], ranges: int, bits: int) -> pa.RecordBatch:
-    """One row for each range that holds a member below 2**bits: the nodes there and their members."""
+def _to_ranges(nodes: np.ndarray, sets: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """One row for each range that holds a member: the nodes there and their members."""
     nodes, first = np.unique(nodes, return_index=True)  # equal sets once
     sets = [sets[i] for i in first]
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     own = np.repeat(np.arange(len(sets)), size)
-    if bits < 64:
-        low = flat < np.uint64(1 << bits)
-        flat, own = flat[low], own[low]
-    at = ((flat >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    at = ((flat >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     flat, own, at = flat[order], own[order], at[order]
     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
@@ -126,7 +123,7 @@ def _to_ranges(nodes: np.ndarray, sets: list[np.ndarray], ranges: int, bits: int
         rows["sizes"].append(size[held].astype(np.int32).tobytes())
         rows["counts"].append(count.astype(np.int32).tobytes())
         part = flat[a:b]
-        rows["members"].append((part.astype(np.uint32) if bits < 64 else part).tobytes())
+        rows["members"].append(part.tobytes())
     binary = pa.binary()
     return pa.RecordBatch.from_pydict({"range": pa.array(rows["range"], pa.int64()), **{
         k: pa.array(rows[k], binary) for k in ("nodes", "sizes", "counts", "members")}})
@@ -135,11 +132,16 @@ def _to_ranges(nodes: np.ndarray, sets: list[np.ndarray], ranges: int, bits: int
 _RANGES = "range bigint, nodes binary, sizes binary, counts binary, members binary"
 
 
-def _texts_to_ranges(n: int, ranges: int):
+def _half(n: int):
+    """``gram, node`` for the n-grams in the lower half of the order, of each different set of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in ngram_sets(batch.column("text"), n) if len(s)]
-            yield _to_ranges(np.array([_name(s) for s in sets], np.int64), sets, ranges, 63)
+            sets = {_name(s): s[: np.searchsorted(s, np.uint64(1 << 63))]
+                    for s in ngram_sets(batch.column("text"), n) if len(s)}
+            size = [len(s) for s in sets.values()]
+            grams = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams.astype(np.int64)),
+                                              "node": pa.array(np.repeat(np.fromiter(sets, np.int64), size))})
     return run
 
 
@@ -147,18 +149,18 @@ def _sets_to_ranges(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column("members")]
-            yield _to_ranges(batch.column("node").to_numpy(), sets, ranges, 64)
+            yield _to_ranges(batch.column("node").to_numpy(), sets, ranges)
     return run
 
 
-def _each_range(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[_Part]:
+def _each_range(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
     """Whole ranges from rows that are sorted by range."""
     held: list[tuple] = []
     current = None
 
     def joined() -> _Part:
         columns = zip(*held, strict=True)
-        types = (np.int64, np.int32, np.int32, kind)
+        types = (np.int64, np.int32, np.int32, np.uint64)
         return _Part(*(np.concatenate([np.frombuffer(x, t) for x in c]) for c, t in zip(columns, types, strict=True)))
 
     for batch in batches:
@@ -185,19 +187,9 @@ def _holders(part: _Part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return nodes, part.sizes[first], gram, start, own
 
 
-def _unshared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _each_range(batches, np.uint32):
-        nodes, _, gram, start, own = _holders(part)
-        lone = start[np.diff(np.append(start, len(gram))) == 1]
-        count = np.bincount(own[lone], minlength=len(nodes))
-        some = count > 0
-        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[some], pa.int64()),
-                                          "unshared": pa.array(count[some], pa.int64())})
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each node of a range: its n-grams that other nodes hold too, how many hold them, and their hubs."""
-    for part in _each_range(batches, np.uint64):
+    for part in _each_range(batches):
         nodes, sizes, gram, start, own = _holders(part)
         count = np.diff(np.append(start, len(gram)))
         frequency = np.repeat(count, count)
@@ -387,13 +379,14 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
                                                         "row bigint, n bigint, node bigint"))
     nodes = signatures.filter(F.col("node").isNotNull()).groupBy("node") \
         .agg(F.min("row").alias("row"), F.max("n").alias("n"))
-    spread = signatures.agg(F.sum("n")).first()[0] or 0
 
     def by_range(ranged: DataFrame) -> DataFrame:
         return ranged.repartition("range").sortWithinPartitions("range")
 
-    lone = by_range(rows.select("text").mapInArrow(_texts_to_ranges(n, max(RANGES, spread // 2 // RANGE + 1)), _RANGES)) \
-        .mapInArrow(_unshared, "node bigint, unshared bigint").groupBy("node").agg(F.sum("unshared").alias("unshared"))
+    # An n-gram that many texts hold is combined in every task before it is shuffled.
+    lone = rows.select("text").mapInArrow(_half(n), "gram bigint, node bigint").groupBy("gram") \
+        .agg(F.min("node").alias("node"), F.max("node").alias("last")).filter(F.col("node") == F.col("last")) \
+        .groupBy("node").agg(F.count("*").alias("unshared"))
     slack = F.floor((100 - percent) * F.col("n") / 100)
     left = staged(nodes.join(lone, "node", "left").filter(F.coalesce("unshared", F.lit(0)) <= slack)
                   .select("row", "n"))

@@ -38,17 +38,18 @@ BLOCK_ITEMS = 2_000
 #: Passages that are compared at once, and anchors that are looked up at once (more only within one document).
 ROWS, PAIRS = 4_096, 1 << 20
 
-FOUND = "array<struct<item_id:bigint,share:double,cosine:double,first:int>>"
+FOUND = "array<struct<item_id:{},share:double,cosine:double,first:int>>"
 
 
 class Items(NamedTuple):
     """Words of some items as places in ``terms``; ``answer`` is where the last sentence begins."""
 
-    ids: list[int]
+    ids: list[str | None]  # as text; ``kind`` is their type
     words: list[np.ndarray]
     answer: list[int]
     terms: np.ndarray  # hashes, ascending
     buckets: np.ndarray  # of the hashes' leading bits: whether any term has them
+    kind: str = "bigint"
 
 
 class Anchors(NamedTuple):
@@ -69,8 +70,8 @@ class Index(NamedTuple):
     anchors: Anchors
 
 
-def _items(rows: list[tuple[int, str]]) -> Items:
-    lowered = [text.lower() for _, text in rows]
+def _items(rows: list[tuple[str | None, str]]) -> Items:
+    lowered = W.lowered(pa.array([text for _, text in rows], pa.large_string())).to_pylist()  # as the documents are
     hashes = W.hash_words(lowered, W.ALNUM)
     ends = [[m.end() for m in re.finditer(r"[.?!:\n]+\s+(?=\S)", t.rstrip())] for t in lowered]
     before = W.hash_words([t[: e[-1]] if e else "" for t, e in zip(lowered, ends, strict=True)], W.ALNUM)
@@ -242,22 +243,25 @@ def learn(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
           item_text: str = "text") -> list[Index]:
     """Latent indexes of all items, one for each block of BLOCK_ITEMS; document statistics cover all documents.
 
-    Items without words are left out; of items that repeat an id each is searched for.
+    Items without words are left out; of items that repeat an id each is searched for.  Ids may be null, and of any
+    type that can be cast to a string and back.
     """
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    rows = benchmark.select(F.col(f"`{item}`").cast("bigint"), F.col(f"`{item_text}`").cast("string")).dropna()
+    rows = benchmark.select(F.col(f"`{item}`").alias("id"), F.col(f"`{item_text}`").cast("string").alias("text")) \
+        .filter(F.col("text").isNotNull())
+    kind = rows.schema["id"].dataType.simpleString()
     out, block = [], []
-    for row in rows.toLocalIterator():
+    for row in rows.withColumn("id", F.col("id").cast("string")).toLocalIterator():
         block.append(tuple(row))
         if len(block) == BLOCK_ITEMS:
-            out += _index(texts, block)
+            out += _index(texts, block, kind)
             block = []
-    return out + _index(texts, block)
+    return out + _index(texts, block, kind)
 
 
-def _index(texts: DataFrame, block: list[tuple[int, str]]) -> list[Index]:
-    block = sorted(r for r in block if re.search(r"\w", r[1]))
-    items = _items(block)
+def _index(texts: DataFrame, block: list[tuple[str | None, str]], kind: str) -> list[Index]:
+    block = sorted((r for r in block if re.search(r"\w", r[1])), key=lambda r: (r[0] is None, len(r[0] or ""), r))
+    items = _items(block)._replace(kind=kind)
     if not len(items.terms):
         return []
     block_words = [bool(len(w)) for w in items.words]
@@ -399,9 +403,10 @@ def leaks(text: Column, indexes: list[Index]) -> Column:
 
     Null, empty and wordless texts hold none; without items the array is empty.
     """
-    out = F.lit(None).cast(FOUND)
     parts = [_leaks_of(text, index) for index in indexes]
-    return F.concat(*parts) if parts else F.coalesce(out, F.array().cast(FOUND))
+    if not parts:
+        return F.array().cast(FOUND.format("bigint"))
+    return F.concat(*parts).cast(FOUND.format(indexes[0].items.kind))
 
 
 def _leaks_of(text: Column, index: Index) -> Column:
@@ -409,13 +414,13 @@ def _leaks_of(text: Column, index: Index) -> Column:
 
     shared = SparkSession.getActiveSession().sparkContext.broadcast(index)
 
-    @F.arrow_udf(FOUND)
+    @F.arrow_udf(FOUND.format("string"))
     def run(texts: pa.Array) -> pa.Array:
         found: list[list[dict]] = [[] for _ in range(len(texts))]
         for w in W.words(W.lowered(texts), W.ALNUM):
             for doc, item, share, cosine, first in _search(w, shared.value):
                 found[doc].append({"item_id": item, "share": share, "cosine": cosine, "first": first})
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()),
+        kind = pa.list_(pa.struct([("item_id", pa.string()), ("share", pa.float64()), ("cosine", pa.float64()),
                                    ("first", pa.int32())]))
         return pa.array(found, kind)
 

@@ -134,17 +134,21 @@ def fit(f: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-3,
 def _labelled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f = features(batch.column("text"))
-        yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "f": pa.array(list(f), pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "f": pa.array(list(f), pa.list_(pa.float64())),
+                                          "place": batch.column("place")})
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", learnt: Column | None = None,
           most: int = MOST_LABELLED) -> Ranking:
     """Fit on the labelled documents: at most ``most`` labels, chosen by a hash of their keys.
 
-    Only text and label are used.  A document that repeats counts again; null texts count as empty.
+    Only text and label are used.  A document that repeats counts again; null texts count as empty.  Keys may repeat
+    among the documents: of more than ``4 * most`` rows, those with the lowest hashes of text and key count.
     """
-    rows = with_labels(docs, sample(labels, label, most, learnt=learnt)).select("text", "y") \
-        .mapInArrow(_labelled_features, "y int, f array<double>").limit(4 * most).toArrow()
+    chosen = with_labels(docs, sample(labels, label, most, learnt=learnt))
+    rows = chosen.select("text", "y", F.xxhash64("text", "doc_id").alias("place")) \
+        .mapInArrow(_labelled_features, "y int, f array<double>, place bigint") \
+        .orderBy("place", "y").limit(4 * most).toArrow()
     f = np.array(rows.column("f").to_pylist(), float).reshape(-1, len(NAMES))
     y = np.array(rows.column("y").to_pylist(), int)
     order = np.lexsort([*f.T, y])  # the same fit, however rows arrive

@@ -152,7 +152,7 @@ def _best(detector: Detector):
                     best[row] = max(s for _, _, s in found)
                     evidence[row] = _evidence(length, found, detector)
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "n": pa.array(n), "best": pa.array(best),
-                                              "evidence": pa.array(evidence)})
+                                              "evidence": pa.array(evidence), "place": batch.column("place")})
     return run
 
 
@@ -188,7 +188,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", learnt: Colu
           most: int = MOST_LABELLED, most_tokens: int = MOST_TOKENS) -> Detector:
     """Learn token scores and calibration from at most ``most`` labelled documents, chosen by a hash of their keys.
 
-    Of several labels of one key, 0 wins.  With a class missing, no token is scored and all documents get the same
+    Of several labels of one key, 0 wins.  Keys may repeat among the documents: of more than ``4 * most`` calibration
+    rows, those with the lowest hashes of text and key count.  With a class missing, no token is scored and all documents get the same
     score, the share of toxic labels.
     """
     chosen = sample(labels, label, most, learnt=learnt)
@@ -217,11 +218,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", learnt: Colu
         neutral = min(float(np.log(rest1 / rest0)), -1e-3)
         rate = _rate(np.append(p, max(1 - p.sum(), 0.0)), np.append(scores, neutral))
     draft = Detector(tokens, _buckets(tokens), scores, weight, neutral, rate, 1.0, 0.0, 0.0)
-    measured = with_labels(docs, chosen).filter(held).select("text", "y")
+    measured = with_labels(docs, chosen).filter(held).select("text", "y", F.xxhash64("text", "doc_id").alias("place"))
 
     def measure(detector: Detector) -> pa.Table:
-        return measured.mapInArrow(_best(detector), "y int, n bigint, best double, evidence double") \
-            .limit(4 * most).toArrow()
+        found = measured.mapInArrow(_best(detector), "y int, n bigint, best double, evidence double, place bigint")
+        return found.orderBy("place", "y").limit(4 * most).toArrow()
 
     seen = measure(draft)
     y, n, best = (seen.column(c).to_numpy() for c in ("y", "n", "best"))
