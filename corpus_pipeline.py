@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    folder = f"{checkpoint_folder(spark).rstrip('/')}/corpus-{spark.sparkContext.applicationId}-{id(object())}"
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/corpus-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
