@@ -3,7 +3,10 @@
 import random
 import re
 from datetime import datetime, timedelta
+from fractions import Fraction
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textward.functions import catalog as C
@@ -109,38 +112,83 @@ def by_key(rows):
 CALLS = "event_id long, k long, ts timestamp, counted boolean"
 
 
-def test_token_bucket_equals_loop(spark):
-    rows = random_calls(1)
-    got = {r["event_id"]: (r["admitted"], r["remaining"])
-           for r in L.token_bucket(spark.createDataFrame(rows, CALLS), "k", "ts", ["event_id"], rpm=12, burst=5).collect()}
-    assert len(got) == len(rows)
-    rejected = 0
-    for calls in by_key(rows).values():
-        tokens, last = 5.0, calls[0][2]
-        for i, _, ts, _ in calls:
-            tokens = min(5.0, tokens + (ts - last).total_seconds() * (12 / 60))
-            last = ts
-            ok = tokens >= 1
-            tokens -= ok
-            rejected += not ok
-            assert got[i] == (ok, int(tokens))
-    assert rejected > 100
-
-
-def test_window_admission_equals_loop(spark):
-    rows = random_calls(2)
-    out = L.window_admission(spark.createDataFrame(rows, CALLS), "k", "ts", ["event_id"], "counted", limit=4, window_seconds=60)
+def micros(ts):
+    return (ts - T0) // timedelta(microseconds=1)
+
+
+def bucket_model(calls, token, burst):
+    """Admission by event id; a token takes ``token`` microseconds."""
+    level, last, out = burst * token, micros(calls[0][2]), {}
+    for i, _, ts, _ in calls:
+        level, last = min(burst * token, level + micros(ts) - last), micros(ts)
+        ok = level >= token
+        level -= token * ok
+        out[i] = (ok, level // token)
+    return out
+
+
+def window_model(calls, limit, seconds):
+    accepted, out = [], {}
+    for i, _, ts, counts in calls:
+        out[i] = sum((ts - a).total_seconds() < seconds for a in accepted[-limit:]) >= limit
+        if counts and not out[i]:
+            accepted.append(ts)
+    return out
+
+
+def tasks_of(spark, df):
+    """Tasks with rows, if small partitions are not put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return df.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("one_key", [False, True])
+def test_token_bucket_equals_loop(spark, one_key):
+    rows = [(i, 0 if one_key else k, ts, c) for i, k, ts, c in random_calls(1)]
+    out = L.token_bucket(spark.createDataFrame(rows, CALLS).repartition(4), "k", "ts", ["event_id"], rpm=12, burst=5,
+                         bucket_seconds=60)
+    got = {r["event_id"]: (r["admitted"], r["remaining"]) for r in out.collect()}
+    want = {i: x for calls in by_key(rows).values() for i, x in bucket_model(calls, 5_000_000, 5).items()}
+    assert got == want and sum(not ok for ok, _ in want.values()) > 100
+    if one_key:  # one key's calls are decided by several tasks
+        assert tasks_of(spark, out) > 3
+
+
+@pytest.mark.parametrize("one_key", [False, True])
+def test_window_admission_equals_loop(spark, one_key):
+    rows = [(i, 0 if one_key else k, ts, c) for i, k, ts, c in random_calls(2)]
+    out = L.window_admission(spark.createDataFrame(rows, CALLS).repartition(4), "k", "ts", ["event_id"], "counted", limit=4,
+                             window_seconds=60, bucket_seconds=45)
     got = {r["event_id"]: r["limited"] for r in out.collect()}
-    limited = 0
-    for calls in by_key(rows).values():
-        accepted = []
-        for i, _, ts, counts in calls:
-            full = sum((ts - a).total_seconds() < 60 for a in accepted[-4:]) >= 4
-            limited += full
-            assert got[i] == full
-            if counts and not full:
-                accepted.append(ts)
-    assert limited > 100
+    want = {i: x for calls in by_key(rows).values() for i, x in window_model(calls, 4, 60).items()}
+    assert got == want and sum(want.values()) > 100
+    if one_key:
+        assert tasks_of(spark, out) > 3
+
+
+def test_limits_of_odd_calls(spark):
+    rows = [(1, None, T0, True), (2, None, None, None), (3, 5, T0, True), (4, 5, T0, True), (5, 5, T0, True)]
+    df = spark.createDataFrame(rows, CALLS)
+    got = {r["event_id"]: r["admitted"] for r in L.token_bucket(df, "k", "ts", ["event_id"], rpm=1, burst=2).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False}
+    seen = {r["event_id"]: r["limited"] for r in L.window_admission(df, "k", "ts", ["event_id"], "counted", 2, 60).collect()}
+    assert seen == {1: False, 2: False, 3: False, 4: False, 5: True}
+    assert L.token_bucket(df.limit(0), "k", "ts", ["event_id"]).count() == 0
+
+
+def test_fractional_rates_are_exact(spark):
+    bucket = L.TokenBucket(7, 3)
+    assert Fraction(bucket.rate, bucket.token) == Fraction(7, 60_000_000)
+    times = np.sort(np.random.default_rng(1).integers(0, 10**9, 500))
+    slow, fast = bucket.start(), bucket.advance(bucket.start(), times)
+    for t in times.tolist():
+        bucket.step(slow, t, True)
+    at = int(times[-1])
+    level = lambda s: min(bucket.full, s[0] + (at - s[1]) * bucket.rate)
+    assert level(slow) == level(fast)
 
 
 def test_trailing_counts_equal_loop(spark):

@@ -1,28 +1,39 @@
 """Rate limits replayed over event logs.
 
-Admission depends on earlier admissions, so each key is an ordered fold.  A fold
-can be cut wherever its state is known regardless of history: after an idle gap
-that refills the bucket (or empties the window).  Keys are cut into such segments
-without ranking a whole key in one task, segments are spread over the cluster,
-and each is folded as a stream of Arrow batches, never as a collected group.
+Admission depends on earlier admissions, so each key is an ordered fold.  It is cut into buckets of time in three
+steps, none of which holds a key's calls.  Every task packs the times of its own calls by (key, bucket).  A chain per
+key reads the packed times in order and notes the state in which each bucket begins; it jumps from one admitted call
+to the next, of which the limit itself allows only so many in any time, whatever the number of calls.  Then all
+buckets are decided in parallel, each from its own state, as streams of Arrow batches: calls of a key that never
+pauses are decided by many tasks.
+
+Times and levels are integers (microseconds), so results don't depend on how a key is cut.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from fractions import Fraction
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 
 MICROS = 1_000_000
+#: Seconds of a bucket of time, whose calls of one key are decided by one task.
+HOURS = 6 * 3600
+#: Place of the state that a key brings along, before all its buckets, and of the one in which it ends.
+BEFORE, AFTER = -(1 << 62), 1 << 62
 
 
 def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    """Microseconds of a time; calls without a time count as made at the epoch."""
+    return F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(0))
 
 
 def activity_segments(df: DataFrame, keys, ts: str, gap_seconds: float, bucket_seconds: int = 3600) -> DataFrame:
@@ -53,88 +64,212 @@ def activity_segments(df: DataFrame, keys, ts: str, gap_seconds: float, bucket_s
         *df.columns, F.coalesce("_own", "_head").alias("segment"))
 
 
-def fold_segments(
-    df: DataFrame, key: str, ts: str, order: list[str], inputs: list[str],
-    start: Callable, step: Callable, outputs: str,
-) -> DataFrame:
-    """Fold every (key, segment) in order; ``step(state, micros, *inputs)`` gives the row's outputs.
+class TokenBucket:
+    """State: level and time of the last call.  One token is ``token`` units of level, a microsecond refills ``rate``.
 
-    Rows stream through in sorted Arrow batches and only the state of the
-    segment at hand is kept.
+    A rejected call also moves the clock, which changes nothing: the level below one token just goes on growing.
     """
-    names = [part.split(":")[0] for part in outputs.split(",")]
-    keep = [c for c in df.columns if c != "segment"]
-    placed = df.withColumn("_t", _micros(ts)).repartition(key, "segment").sortWithinPartitions(key, "segment", "_t", *order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            results = []
-            columns = [batch[c].tolist() for c in (key, "segment", "_t", *inputs)]
-            for k, segment, t, *values in zip(*columns):
-                if (k, segment) != current:
-                    current, state = (k, segment), start(t)
-                results.append(step(state, t, *values))
-            out = batch[keep].copy()
-            for i, name in enumerate(names):
-                out[name] = [r[i] for r in results]
-            yield out
-
-    typed = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "segment")
-    extra = ",".join(part.replace(":", " ") for part in outputs.split(","))
-    return placed.mapInPandas(run, f"{typed},{extra}")
+    outputs = "admitted boolean, remaining bigint"
+    kinds = (pa.bool_(), pa.int64())
 
+    def __init__(self, rpm: float, burst: int):
+        per_micro = Fraction(str(rpm)) / (60 * MICROS)
+        self.rate, self.token = per_micro.numerator, per_micro.denominator
+        self.full = burst * self.token
 
-def token_bucket(
-    df: DataFrame, key: str, ts: str, order: list[str], rpm: float = C.BUCKET_RPM, burst: int = C.BUCKET_BURST,
-) -> DataFrame:
-    """Append ``admitted`` and ``remaining`` of a token bucket per key.
+    def start(self) -> list[int]:
+        return [self.full, 0]
 
-    A rejected request still moves the refill clock.  A gap of ``burst`` tokens'
-    worth of time fills the bucket whatever happened before.
-    """
-    rate = rpm / 60
+    def step(self, state: list[int], t: int, counts: bool) -> tuple[bool, int]:
+        state[0] = min(self.full, state[0] + max(t - state[1], 0) * self.rate)
+        state[1] = max(t, state[1])
+        admitted = state[0] >= self.token
+        if admitted:
+            state[0] -= self.token
+        return admitted, state[0] // self.token
 
-    def start(t):
-        return [float(burst), t]
+    def advance(self, state: list[int], times: np.ndarray) -> list[int]:
+        i, n = 0, len(times)
+        while i < n:
+            if self.step(state, int(times[i]), True)[0]:
+                i += 1
+            else:
+                i = int(np.searchsorted(times, state[1] - (state[0] - self.token) // self.rate))
+        return state
 
-    def step(state, t):
-        tokens = min(float(burst), state[0] + (t - state[1]) / MICROS * rate)
-        state[1] = t
-        if tokens < 1:
-            state[0] = tokens
-            return False, int(tokens)
-        state[0] = tokens - 1
-        return True, int(tokens - 1)
+    def idle(self, state: list[int], now: int) -> bool:
+        return state[0] + (now - state[1]) * self.rate >= self.full
 
-    cut = activity_segments(df, key, ts, burst / rate + 1)
-    return fold_segments(cut, key, ts, order, [], start, step, "admitted:boolean,remaining:bigint")
 
+class TrailingWindow:
+    """State: times of the calls in the window that counted and were not limited, at most ``limit``."""
 
-def window_admission(
-    df: DataFrame, key: str, ts: str, order: list[str], counted: str,
-    limit: int = C.AGENT_CALLS, window_seconds: int = C.AGENT_WINDOW_SECONDS,
-) -> DataFrame:
-    """Append ``limited``: at least ``limit`` counted, unlimited calls in the trailing window.
+    outputs = "limited boolean"
+    kinds = (pa.bool_(),)
 
-    Only calls that were not limited themselves and have ``counted`` set enter
-    the window.
-    """
-    width = window_seconds * MICROS
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.width = limit, seconds * MICROS
 
-    def start(t):
+    def start(self) -> deque:
         return deque()
 
-    def step(state, t, counts):
-        while state and t - state[0] >= width:
+    def step(self, state: deque, t: int, counts: bool) -> tuple[bool]:
+        while state and t - state[0] >= self.width:
             state.popleft()
-        limited = len(state) >= limit
+        limited = len(state) >= self.limit
         if counts and not limited:
             state.append(t)
         return (limited,)
 
-    cut = activity_segments(df, key, ts, window_seconds)
-    return fold_segments(cut, key, ts, order, [counted], start, step, "limited:boolean")
+    def advance(self, state: deque, times: np.ndarray) -> deque:
+        i, n = 0, len(times)
+        while i < n:
+            if self.step(state, int(times[i]), True)[0]:
+                i = int(np.searchsorted(times, state[0] + self.width)) if state else n
+            else:
+                i += 1
+        return state
+
+    def idle(self, state: deque, now: int) -> bool:
+        return not state or now - state[-1] >= self.width
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each (key, bucket) of a batch: the times of its calls that count, which may be none."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("k")
+        code = pc.dictionary_encode(key, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        bucket, t = np.asarray(batch.column("_b")), np.asarray(batch.column("_t"))
+        counts = batch.column("counts").fill_null(False).to_numpy(zero_copy_only=False)
+        order = np.lexsort((t, bucket, code))
+        code, bucket, t, counts = code[order], bucket[order], t[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])]))
+        parts = [t[a:b][counts[a:b]].astype(np.int64).tobytes() for a, b in zip(first, [*first[1:], len(t)], strict=True)]
+        yield pa.RecordBatch.from_pydict({"k": key.take(pa.array(order[first])), "_b": pa.array(bucket[first], pa.int64()),
+                                          "times": pa.array(parts, pa.binary())})
+
+
+def _chain(limiter, end: bool):
+    """The state in which each (key, bucket) begins, from packed times sorted by key and bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, place, held, kind = None, (), [], None
+        rows: list[tuple] = []
+
+        def ended() -> None:
+            nonlocal state, held
+            if held:
+                state = limiter.advance(state, np.sort(np.concatenate(held)))
+                held = []
+
+        def noted(bucket: int) -> None:
+            rows.append((place[0], bucket, np.array(state, dtype=np.int64).tobytes()))
+
+        def emitted() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            out = [pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.binary()), strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(out, ["k", "_b", "state"])
+
+        for batch in batches:
+            kind = batch.schema.field("k").type
+            for key, bucket, times in zip(*(batch.column(c).to_pylist() for c in ("k", "_b", "times")), strict=True):
+                if place == () or key != place[0]:
+                    ended()
+                    if place != () and end:
+                        noted(AFTER)
+                    state, place = limiter.start(), (key, None)
+                value = np.frombuffer(times, np.int64)
+                if bucket == BEFORE:
+                    state = type(state)(value.tolist())
+                    continue
+                if bucket != place[1]:
+                    ended()
+                    place = (key, bucket)
+                    noted(bucket)
+                held.append(value)
+            if rows:
+                yield emitted()
+        if place != () and end:
+            ended()
+            noted(AFTER)
+            yield emitted()
+    return run
+
+
+def states(df: DataFrame, key: str, ts: str, limiter, counted: str | None = None, bucket_seconds: int = HOURS,
+           before: DataFrame | None = None, end: bool = False) -> DataFrame:
+    """``k, _b, state`` of every (key, bucket of time): the state in which it begins.
+
+    ``before`` (``k, state``) are states that keys bring along; with ``end``, a row at AFTER has the one they end in.
+    """
+    counts = F.lit(True) if counted is None else F.col(counted).cast("boolean")
+    kind = df.schema[key].dataType.simpleString()
+    t = _micros(ts)
+    calls = df.select(F.col(key).alias("k"), t.alias("_t"), F.floor(t / (bucket_seconds * MICROS)).cast("bigint").alias("_b"),
+                      counts.alias("counts"))
+    packed = calls.mapInArrow(_packed, f"k {kind}, _b bigint, times binary")
+    if before is not None:
+        packed = packed.unionByName(before.select("k", F.lit(BEFORE).alias("_b"), F.col("state").alias("times")))
+    return packed.repartition("k").sortWithinPartitions("k", "_b") \
+        .mapInArrow(_chain(limiter, end), f"k {kind}, _b bigint, state binary")
+
+
+def decide(df: DataFrame, key: str, ts: str, order: list[str], limiter, begun: DataFrame, counted: str | None = None,
+           bucket_seconds: int = HOURS) -> DataFrame:
+    """Append the limiter's outputs to every call, from the states in which (key, bucket)s begin."""
+    own, names = df.columns, [part.split()[0] for part in limiter.outputs.split(", ")]
+    counts = F.lit(True) if counted is None else F.col(counted).cast("boolean")
+    t = _micros(ts)
+    calls = df.select("*", F.col(key).alias("_limit_k"), t.alias("_limit_t"),
+                      F.floor(t / (bucket_seconds * MICROS)).cast("bigint").alias("_limit_b"), counts.alias("_limit_counts"))
+    heads = begun.filter(F.col("_b") != AFTER).select(F.col("k").alias("_limit_k"), F.col("_b").alias("_limit_b"),
+                                                      F.col("state").alias("_limit_state"))
+    placed = calls.unionByName(heads, allowMissingColumns=True).repartition("_limit_k", "_limit_b") \
+        .sortWithinPartitions("_limit_k", "_limit_b", F.col("_limit_state").isNull(), "_limit_t", *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            results: list[tuple] = []
+            columns = (batch.column(c).to_pylist() for c in ("_limit_state", "_limit_t", "_limit_counts"))
+            for head, time, counts_ in zip(*columns, strict=True):
+                if head is not None:
+                    state = type(limiter.start())(np.frombuffer(head, np.int64).tolist())
+                else:
+                    results.append(limiter.step(state, time, bool(counts_)))
+            rows = batch.filter(pc.is_null(batch.column("_limit_state")))
+            added = [pa.array([r[i] for r in results], kind) for i, kind in enumerate(limiter.kinds)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in own), *added], [*own, *names])
+
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return placed.mapInArrow(run, f"{typed}, {limiter.outputs}")
+
+
+def token_bucket(
+    df: DataFrame, key: str, ts: str, order: list[str], rpm: float = C.BUCKET_RPM, burst: int = C.BUCKET_BURST,
+    bucket_seconds: int = HOURS,
+) -> DataFrame:
+    """Append ``admitted`` and ``remaining`` of a token bucket per key."""
+    limiter = TokenBucket(rpm, burst)
+    begun = states(df, key, ts, limiter, None, bucket_seconds)
+    return decide(df, key, ts, order, limiter, begun, None, bucket_seconds)
+
+
+def window_admission(
+    df: DataFrame, key: str, ts: str, order: list[str], counted: str,
+    limit: int = C.AGENT_CALLS, window_seconds: int = C.AGENT_WINDOW_SECONDS, bucket_seconds: int = HOURS,
+) -> DataFrame:
+    """Append ``limited``: at least ``limit`` counted, unlimited calls in the trailing window.
+
+    Only calls that were not limited themselves and have ``counted`` set enter
+    the window.
+    """
+    limiter = TrailingWindow(limit, window_seconds)
+    begun = states(df, key, ts, limiter, counted, bucket_seconds)
+    return decide(df, key, ts, order, limiter, begun, counted, bucket_seconds)
 
 
 def trailing_counts(df: DataFrame, key: str, ts: str, seconds: int, out: str = "recent") -> DataFrame:

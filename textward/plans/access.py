@@ -315,12 +315,15 @@ def approval_queue(spark, sf):
 _RPM, _BURST = 0.002, 3
 
 
-@query(f"""WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-tb AS (SELECT user_id, n, ts, {_BURST}::DOUBLE - 1 AS tokens, true AS admitted FROM o WHERE n = 1
-  UNION ALL SELECT user_id, n, ts, CASE WHEN t < 1 THEN t ELSE t - 1 END, t >= 1 FROM (
-    SELECT o.user_id, o.n, o.ts, least({_BURST}::DOUBLE, tokens + (epoch_us(o.ts) - epoch_us(tb.ts)) / 1000000.0::DOUBLE * ({_RPM}::DOUBLE / 60)) AS t
+_TOKEN = round(60_000_000 / _RPM)  # microseconds that refill one token
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+tb AS (SELECT user_id, n, t, ({_BURST} - 1) * {_TOKEN}::BIGINT AS level, true AS admitted FROM o WHERE n = 1
+  UNION ALL SELECT user_id, n, t, CASE WHEN l < {_TOKEN} THEN l ELSE l - {_TOKEN} END, l >= {_TOKEN} FROM (
+    SELECT o.user_id, o.n, o.t, least({_BURST} * {_TOKEN}::BIGINT, level + o.t - tb.t) AS l
     FROM tb JOIN o ON o.user_id = tb.user_id AND o.n = tb.n + 1))
-SELECT event_id, admitted, floor(tokens)::BIGINT AS remaining FROM tb JOIN o USING (user_id, n)""")
+SELECT event_id, admitted, level // {_TOKEN} AS remaining FROM tb JOIN o USING (user_id, n)""")
 def token_bucket(spark, sf):
     e = N.table(spark, sf, "events").select("event_id", "user_id", "ts")
     return L.token_bucket(e, "user_id", "ts", ["event_id"], _RPM, _BURST).select("event_id", "admitted", "remaining")
