@@ -1,46 +1,69 @@
 """The engine over unbounded inputs: Structured Streaming versions of the operators.
 
 Stateless operators (inspection, policies) are the batch functions applied to a
-streaming DataFrame.  Stateful ones carry a watermark, so their state is bounded
-by the allowed lateness instead of by the length of the stream.
+streaming DataFrame.  Windows, sessions and replays carry a watermark, so their
+state is bounded by the allowed lateness instead of by the length of the stream.
+Rate limits run the batch operator on every micro-batch, from the states that the
+one before has written; a state that says nothing any more is not written again.
+
+Whatever ``foreachBatch`` writes goes to a folder named by the batch, so a batch
+that is run again after a failure replaces its own output and nothing else.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions import catalog as C
 from ..operators import inspect as I
+from ..operators import limits as L
 from ..operators import policy as P
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared directory the cluster names; a local one only in local mode."""
+    """A folder of that name in the shared directory the cluster names; a local one only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='textward-')}/{name}-{uuid.uuid4().hex}"
+    return f"{base or tempfile.mkdtemp(prefix='textward-')}/{name}"
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     """A Parquet table, one file or a folder of part files, as a stream; ``files_per_trigger`` bounds a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    path = path.rstrip("/")
+    exactly = f"{path[:-1]}[{path[-1]}]"  # a pattern, as the source takes no single file; it fits this name alone
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(exactly)
 
 
 def inspect_stream(texts: DataFrame, text: str = "text") -> DataFrame:
     return I.verdicts(texts, text)
 
 
-def policy_stream(texts: DataFrame, rules: Sequence[P.Rule], text: str = "text") -> DataFrame:
-    """Policy decisions per event.  Restarting the query with new rules is the hot reload."""
-    return P.evaluate(P.text_features(texts, rules, text), rules)
+def policy_writer(rules: Callable[[], Sequence[P.Rule]], context: Callable[[], DataFrame] | None = None,
+                  key: str = "doc_id", text: str = "text", columns: Sequence[str] = ("*",)) -> Callable:
+    """Policy decisions of each micro-batch, by the rules and the request context as they are when it begins.
+
+    ``rules`` reads the rules again for every batch (hot reload); ``context`` reads the table that is joined by ``key``.
+    """
+    def writer(out: str) -> Callable[[DataFrame, int], None]:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            now = list(rules())
+            features = P.text_features(batch, now, text)
+            if context is not None:
+                features = features.join(context(), key, "left")
+            P.evaluate(features, now).select(*columns).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+        return write
+
+    return writer
 
 
 def tumbling_counts(events: DataFrame, *labels: str, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -75,53 +98,96 @@ def without_replays(events: DataFrame, *fingerprint: str, lateness: str = "1 hou
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(fingerprint))
 
 
-def token_bucket_stream(
-    events: DataFrame, key: str, rpm: float = C.BUCKET_RPM, burst: int = C.BUCKET_BURST,
-) -> DataFrame:
-    """Admission per event (``event_id``, ``key``, ``ts``) with the bucket kept as keyed state.
+def limit_writer(limiter, key: str, ts: str, order: Sequence[str], counted: str | None = None) -> Callable:
+    """The limiter's decisions on each micro-batch (``operators.limits``), in order of time within the batch.
+
+    States are kept per key in ``state/<batch>``, those of idle keys (a full bucket, an empty window at the latest
+    time seen) left out, so they are as many as keys were active lately.
+    """
+    def writer(out: str) -> Callable[[DataFrame, int], None]:
+        def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                kept = []
+                for state, now in zip(*(rows.column(c).to_pylist() for c in ("state", "now")), strict=True):
+                    held = type(limiter.start())(np.frombuffer(state, np.int64).tolist())
+                    kept.append(not limiter.idle(held, now))
+                yield rows.filter(pa.array(kept, pa.bool_()))
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            spark = batch.sparkSession
+            kind = batch.schema[key].dataType.simpleString()
+            before = spark.read.parquet(f"{out}/state/{batch_id - 1}") if batch_id else None
+            begun = L.states(batch, key, ts, limiter, counted, before=None if before is None else before.select("k", "state"),
+                             end=True)
+            begun.write.mode("overwrite").parquet(f"{out}/begun/{batch_id}")
+            begun = spark.read.parquet(f"{out}/begun/{batch_id}")
+            L.decide(batch, key, ts, list(order), limiter, begun, counted) \
+                .write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+            latest = batch.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()[0]
+            if before is not None:
+                latest = max(filter(None, (latest, before.agg(F.max("now")).first()[0])), default=None)
+            begun.filter(F.col("_b") == L.AFTER).select("k", "state", F.lit(latest or 0).cast("bigint").alias("now")) \
+                .mapInArrow(active, f"k {kind}, state binary, now bigint") \
+                .write.mode("overwrite").parquet(f"{out}/state/{batch_id}")
+
+        return write
+
+    return writer
+
+
+def late_writer(ts: str, lateness_seconds: int) -> Callable:
+    """Rows in time to ``data``, and late ones to ``late``, both by batch.
+
+    A row is late if it is older, by more than the lateness, than the latest row of the batches before its own.
+    """
+    def writer(out: str) -> Callable[[DataFrame, int], None]:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            spark, time = batch.sparkSession, F.unix_micros(F.col(ts).cast("timestamp"))
+            seen = spark.read.parquet(f"{out}/latest/{batch_id - 1}").first()["latest"] if batch_id else None
+            late = F.coalesce(time < F.lit(seen).cast("bigint") - lateness_seconds * 1_000_000, F.lit(False))
+            batch.filter(~late).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+            batch.filter(late).write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+            batch.agg(F.greatest(F.max(time), F.lit(seen).cast("bigint")).alias("latest")) \
+                .write.mode("overwrite").parquet(f"{out}/latest/{batch_id}")
+
+        return write
 
-    A key's rows of one micro-batch are ordered before they are folded; the
-    trigger's file limit bounds them.
+    return writer
+
+
+class DroppedRows(StreamingQueryListener):
+    """Counts, by query name, the rows that stateful operators dropped because they were behind the watermark.
+
+    An aggregation combines rows before its state sees them, so equal ones may count as one; ``late_writer`` keeps each.
     """
-    rate = rpm / 60
-    key_type = events.schema[key].dataType.simpleString()
-
-    def admit(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        micros = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
-        tokens, last = state.get if state.exists else (float(burst), micros[0])
-        admitted = []
-        for t in micros:
-            tokens = min(float(burst), tokens + max(t - last, 0) / 1_000_000 * rate)
-            last = max(t, last)
-            admitted.append(tokens >= 1)
-            if admitted[-1]:
-                tokens -= 1
-        state.update((tokens, last))
-        yield pd.DataFrame({"event_id": rows["event_id"], key: group[0], "admitted": admitted})
-
-    return events.select("event_id", key, "ts").groupBy(key).applyInPandasWithState(
-        admit, f"event_id bigint, `{key}` {key_type}, admitted boolean", "tokens double, last bigint",
-        "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(stream: DataFrame, name: str, mode: str = "append", writer=None) -> str:
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(event.name, 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        self.dropped[event.progress.name] = self.dropped.get(event.progress.name, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append", writer=None, folder: str | None = None) -> str:
     """Process what is available and stop; returns the output folder.
 
-    Results go to files in the shared folder next to the query's own checkpoint,
-    so a restarted query goes on where it stopped.
+    Results and the query's checkpoint go to ``folder``; a query that is started again with the same folder goes on
+    where it stopped.  Without one, a new folder in the shared directory is taken.
     """
-    out = shared_folder(stream.sparkSession, name)
-    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
-    if writer is not None:
-        sink = sink.foreachBatch(writer(out))
-    elif mode == "append":
-        sink = sink.format("parquet").option("path", f"{out}/data")
-    else:
-        def overwrite(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/data")
-
-        sink = sink.foreachBatch(overwrite)
+    out = folder or shared_folder(stream.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    sink = stream.writeStream.queryName(name).outputMode(mode) \
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    sink = sink.format("parquet").option("path", f"{out}/data") if writer is None else sink.foreachBatch(writer(out))
     query = sink.start()
     try:
         query.awaitTermination()
