@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..operators import keywords as K
 from ..operators import policy as P
+from ..sources.tables import spread
 from . import inputs as N
 from . import oracle as O
 from .oracle import lit
@@ -227,4 +229,27 @@ def framework_compliance(spark, sf):
         F.round(100.0 * F.count_if(~F.col("hit")) / F.count("*"), 4).alias("coverage_percent"))
 
 
-
+@query("""WITH k AS (
+  SELECT 'k' || item_id || '-' || n AS rule_id, CASE WHEN item_id % 7 > 0 THEN 't' || item_id % 7 END AS tenant_id, keyword,
+    (['block', 'redact', 'alert'])[item_id % 3 + 1] AS action
+  FROM (SELECT item_id, unnest(string_split(text, ' ')) AS keyword, unnest(range(len(string_split(text, ' ')))) AS n FROM benchmark)
+  WHERE len(keyword) > 0),
+h AS (SELECT DISTINCT doc_id, rule_id, action FROM documents d JOIN k
+  ON (tenant_id IS NULL OR tenant_id = 't' || doc_id % 7) AND contains(lower(text), lower(keyword)))
+SELECT d.doc_id, count(rule_id) AS fired, coalesce(string_agg(rule_id, ',' ORDER BY rule_id), '') AS rules,
+  CASE WHEN bool_or(action = 'block') THEN 'block' WHEN bool_or(action = 'redact') THEN 'redact'
+    WHEN bool_or(action = 'alert') THEN 'alert' ELSE 'allow' END AS keyword_action
+FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id""")
+def tenant_keyword_rules(spark, sf):
+    """Every word of a benchmark item as a keyword rule of the item's tenant, over all documents."""
+    words = N.table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("n", "keyword"))
+    item = F.col("item_id")
+    rules = words.select(
+        F.concat(F.lit("k"), item.cast("string"), F.lit("-"), F.col("n").cast("string")).alias("rule_id"),
+        F.when(item % 7 > 0, F.concat(F.lit("t"), (item % 7).cast("string"))).alias("tenant_id"), "keyword",
+        N.by_index(("block", "redact", "alert"), item).alias("action"))
+    docs = spread(N.table(spark, sf, "documents").select("doc_id", "text")) \
+        .withColumn("tenant_id", F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string")))
+    return K.keyword_rules(docs, rules).select(
+        "doc_id", F.size("fired").cast("bigint").alias("fired"), F.array_join("fired.rule_id", ",").alias("rules"),
+        "keyword_action")

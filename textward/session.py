@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from .sources.tables import TASKS
+
 
 def local_session(cores: int | None = None, name: str = "textward") -> SparkSession:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -17,6 +19,7 @@ def local_session(cores: int | None = None, name: str = "textward") -> SparkSess
         SparkSession.builder.master(f"local[{cores}]").appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        .config(TASKS, str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")

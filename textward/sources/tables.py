@@ -6,20 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Session setting: tasks over which texts are dealt before costly work.  Unset, a scan's own splits are the tasks, as
+#: they should be on a cluster; a table of fewer row groups than cores (as in tests) needs it, at the price of a shuffle.
+TASKS = "textward.text.tasks"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small scan over the cluster's cores before costly text work.
-
-    Regex work dominates these jobs, and a small file is one task however many
-    cores there are.  Only an input of less than one full scan split per core is
-    repartitioned; anything larger already fills the cluster, and is returned as
-    it is, so no text is shuffled at scale.
-    """
-    session = df.sparkSession
-    cores = session.sparkContext.defaultParallelism
-    to_bytes = session.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-    split = to_bytes(session.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    """The rows dealt over as many tasks as the session asks for, or as they are if it does not."""
+    tasks = df.sparkSession.conf.get(TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
