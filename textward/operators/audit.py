@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -231,3 +233,66 @@ def integrity_check(log: DataFrame, source: DataFrame, key: str, hash_column: st
 def bounded_buffer(events: DataFrame, size: int = C.AUDIT_BUFFER) -> DataFrame:
     """The newest ``size`` events, as a top-k."""
     return events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(size)
+
+
+# ------------------------------------------------------------------ hash chain
+#: Parts of a minute's entries, each hashed by one task.
+SLOTS = 64
+
+
+def entries(log: DataFrame, columns: Sequence[str], key: str = "event_id", ts: str = "ts", tenant: str = "tenant_id") -> DataFrame:
+    """``tenant_id, minute, slot, key, digest``: what is sealed of every entry; nulls and texts that look like them differ."""
+    fields = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")),
+                         F.lit("-")) for c in columns]
+    minute = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 60_000_000).cast("bigint")
+    return log.select(
+        F.col(tenant).alias("tenant_id"), minute.alias("minute"), F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int").alias("slot"),
+        F.col(key).cast("string").alias("key"), F.sha2(F.concat_ws(",", *fields), 256).alias("digest"))
+
+
+def _root(*parts: str) -> Column:
+    rows = F.array_sort(F.collect_list(F.struct(*parts)))
+    return F.sha2(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", *(r[p].cast("string") for p in parts))), ","), 256)
+
+
+def leaves(sealed: DataFrame) -> DataFrame:
+    """Root and number of the entries of each tenant, minute and slot."""
+    return sealed.groupBy("tenant_id", "minute", "slot").agg(_root("key", "digest").alias("root"), F.count("*").alias("entries"))
+
+
+def chain(sealed: DataFrame) -> DataFrame:
+    """``tenant_id, days, entries, head``: roots of minutes, hours and days, and per tenant the chain over its days.
+
+    Every level hashes the roots of the level below, so no task holds more than a slot's entries, a minute's slots, an
+    hour's minutes, a day's hours or a tenant's days.
+    """
+    level = leaves(sealed).groupBy("tenant_id", "minute").agg(_root("slot", "root").alias("root"), F.sum("entries").alias("entries"))
+    for name, below, width in (("hour", "minute", 60), ("day", "hour", 24)):
+        level = level.withColumn(name, F.floor(F.col(below) / width).cast("bigint")).groupBy("tenant_id", name).agg(_root(below, "root").alias("root"), F.sum("entries").alias("entries"))
+    days = F.array_sort(F.collect_list(F.struct("day", "root")))
+    head = F.aggregate(days, F.lit(""), lambda acc, d: F.sha2(F.concat(acc, F.lit("|"), d["day"].cast("string"), F.lit(":"), d["root"]), 256))
+    return level.groupBy("tenant_id").agg(F.count("*").alias("days"), F.sum("entries").alias("entries"), head.alias("head"))
+
+
+def tampered(now: DataFrame, sealed: DataFrame) -> DataFrame:
+    """``key, finding`` (altered, removed, inserted) of entries that are not as they were sealed.
+
+    Roots of slots are compared first; only entries of slots that differ are compared one by one.  An entry that is
+    moved to another time or tenant, or repeated, is found too (altered; inserted).
+    """
+    place = ["tenant_id", "minute", "slot"]
+    roots = [leaves(x).select(*place, F.concat_ws(":", "root", F.col("entries").cast("string")).alias(n))
+             for x, n in ((now, "new"), (sealed, "old"))]
+    same = [a.eqNullSafe(b) for a, b in ((roots[0][c], roots[1][c]) for c in place)]
+    both = roots[0].join(roots[1], same[0] & same[1] & same[2], "full_outer").filter(~F.col("new").eqNullSafe(F.col("old")))
+    changed = both.select(*(F.coalesce(roots[0][c], roots[1][c]).alias(f"_{c}") for c in place)).distinct()
+
+    def of_changed(x: DataFrame, sign: int) -> DataFrame:
+        match = [x[c].eqNullSafe(changed[f"_{c}"]) for c in place]
+        return x.join(changed, match[0] & match[1] & match[2], "left_semi").select("*", F.lit(sign).alias("_sign"))
+
+    found = of_changed(now, 1).unionByName(of_changed(sealed, -1)) \
+        .groupBy("key", "digest", *place).agg(F.sum("_sign").alias("_more")).filter("_more <> 0")
+    return found.groupBy("key").agg(F.max("_more").alias("_high"), F.min("_more").alias("_low")).select(
+        "key", F.when((F.col("_high") > 0) & (F.col("_low") < 0), "altered").when(F.col("_high") > 0, "inserted")
+        .otherwise("removed").alias("finding"))

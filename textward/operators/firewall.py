@@ -35,14 +35,19 @@ def _redacted_messages(messages: DataFrame, decided: DataFrame, keys, overlaps:
 
 def prompt_decisions(
     messages: DataFrame, rules: Sequence[P.Rule], keys=H.SESSION,
-    max_messages: int = C.MAX_HISTORY_MESSAGES, system_prompt: str | None = None,
+    max_messages: int = C.MAX_HISTORY_MESSAGES, system_prompt: str | None = None, context: DataFrame | None = None,
 ) -> DataFrame:
-    """One decision per session over its bounded history."""
+    """One decision per session over its bounded history.
+
+    ``context`` has the request context of sessions (role, department, model, region, ...) that rules may test; it is
+    joined after the texts have been reduced to features.
+    """
     bounded = H.bound_history(H.truncate_messages(messages), keys, max_messages)
     texts = H.assemble(bounded, keys, system_prompt).select(
         *keys, T.hard_block(F.col("text")).alias("hard_block"),
         content_hash(F.col("text"), 16).alias("content_hash"), "text")
-    e = P.evaluate(P.text_features(texts, rules), rules)
+    features = P.text_features(texts, rules)
+    e = P.evaluate(features if context is None else features.join(context, list(keys), "left"), rules)
     ordered = P.evaluation_order(rules)
     names = S.injection_names()
     injected = S.detected("injection")
@@ -102,16 +107,17 @@ def prompt_messages(
 
 def gateway(
     messages: DataFrame, keys=H.SESSION, max_messages: int | None = None, overlaps: str = "merge",
+    system_prompt: str | None = None,
 ) -> DataFrame:
     """Guarded exchange per session: user turns are the request, assistant turns the reply.
 
-    The request is every message but the replies; ``max_messages`` keeps the newest only.  Every message is
-    inspected once, and both sides are reduced to counters before they are joined.
+    The request is every message but the replies, after the system prompt if there is one; ``max_messages`` keeps the
+    newest only.  Every message is inspected once, and both sides are reduced to counters before they are joined.
     """
     asked = messages.where("role <> 'assistant'")
     if max_messages is not None:
         asked = H.bound_history(asked, keys, max_messages)
-    full = H.assemble(asked, keys)
+    full = H.assemble(asked, keys, system_prompt)
     v = D.with_evidence(full).select(
         *keys, "evidence", S.risk_score().alias("input_risk_score"), H.token_estimate(F.col("text")).alias("_prompt"))
     names, injected = S.injection_names(), S.detected("injection")
@@ -144,6 +150,21 @@ def gateway(
         sent(F.floor(F.col("_reply_chars") / 4).cast("bigint")).alias("completion_tokens"))
 
 
+def gateway_messages(messages: DataFrame, decisions: DataFrame, keys=H.SESSION, overlaps: str = "merge") -> DataFrame:
+    """What passes the gateway of sessions that are not blocked, message by message.
+
+    Requests are masked where the decision is to redact, replies always; system messages never.  ``decisions`` is
+    the result of :func:`gateway`.
+    """
+    passed = decisions.where(~F.col("blocked")).select(*keys, (F.col("input_action") == "redact").alias("_redact"))
+    joined = messages.select(*keys, "turn", "role", "content").join(passed, list(keys))
+    masked = R.redact(joined, "content", "mask", overlaps)
+    change = (F.col("role") == "assistant") | (F.col("role") != "system") & F.col("_redact")
+    return masked.select(
+        *keys, "turn", "role", F.when(change, F.col("redacted_text")).otherwise(F.col("content")).alias("content"),
+        F.when(change, F.col("redaction_count")).otherwise(0).alias("redactions"))
+
+
 def output_firewall(
     df: DataFrame, text: str = "content", block_on_hijack: bool = True, block_on_pii: bool = False,
     max_chars: int = C.MAX_OUTPUT_CHARS, overlaps: str = "merge",

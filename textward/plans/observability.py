@@ -132,6 +132,24 @@ def audit_integrity(spark, sf):
     return U.integrity_check(log, d, "doc_id", "content_hash", "text")
 
 
+_SEALED = ("event_id", "ts", "user_id", "tenant_id", "action", "risk_score", "policy_id")
+
+
+@query(f"""WITH {O.AUDIT} SELECT event_id, 'removed' AS finding FROM a WHERE event_id % 101 = 0
+UNION ALL SELECT event_id, 'altered' FROM a WHERE event_id % 101 <> 0 AND event_id % 103 = 1
+UNION ALL SELECT event_id + 1000000000, 'inserted' FROM a WHERE event_id % 107 = 2
+UNION ALL SELECT event_id, 'altered' FROM a WHERE event_id % 101 <> 0 AND event_id % 103 <> 1 AND event_id % 109 = 3""")
+def audit_tampering(spark, sf):
+    """The audit log, sealed as it is, against a copy with entries removed, altered, inserted and moved in time."""
+    log = events(spark, sf)
+    key = F.col("event_id")
+    kept = log.where(key % 101 != 0).withColumn("action", F.when(key % 103 == 1, F.concat("action", F.lit("ed"))).otherwise(F.col("action")))
+    late = kept.withColumn("ts", F.when((key % 109 == 3) & (key % 103 != 1), F.col("ts") + F.expr("INTERVAL 2 DAYS")).otherwise(F.col("ts")))
+    more = log.where(key % 107 == 2).withColumn("event_id", key + 1_000_000_000)
+    now_ = U.entries(late.unionByName(more), _SEALED)
+    return U.tampered(now_, U.entries(log, _SEALED)).select(F.col("key").cast("bigint").alias("event_id"), "finding")
+
+
 # ------------------------------------------------------------------ dashboards
 def _change(name, test):
     now_, before = f"count(*) FILTER ({test} AND p = 0)", f"count(*) FILTER ({test} AND p = 1)"
