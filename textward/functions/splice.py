@@ -1,4 +1,4 @@
-"""Redaction of a row's own hits: pieces of the text and tokens joined in one pass, or a fold where hits overlap."""
+"""Redaction of a row's own hits: a fold from the last to the first that keeps only the near end of its result at hand."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ LABELS = sorted({C.ENTITY_TYPES[t][1] for t, _, _ in C.ENTITY_PATTERNS})
 RECORD_TYPE = "array<struct<token:string,det:int,start:int,end:int,value:string>>"
 #: Characters of a chunk; cutting a piece out of a text costs the chunks at its ends, not all that stands before it.
 CHUNK = 512
+#: Characters of the redacted tail that a fold keeps at hand; what is behind them is not copied again.
+NEAR = 4096
 
 
 def merged(hits: Column, text: Column) -> Column:
@@ -78,69 +80,65 @@ def _hash_token(label: Column, value: Column) -> Column:
     return F.concat(F.lit("["), label, F.lit(":HASH:"), content_hash(value, 12), F.lit("]"))
 
 
-def _joined(text: Column, ordered: Column, mode: str) -> Column:
-    """Redaction of hits that do not overlap, given from the last to the first: time in proportion to the text."""
-    def record(h: Column, token: Column) -> Column:
-        return F.struct(h["back"].alias("back"), token.alias("token"), h["det"].alias("det"), h["end"].alias("end"),
-                        h["value"].alias("value"))
+def _next_token(counts: Column, h: Column, mode: str) -> Column:
+    label = det_label(h["det"])
+    return _hash_token(label, h["value"]) if mode == "hash" else _token(label, F.get(counts, _slot(h)) + 1)
 
-    def of_label(labelled: Column, label: str) -> Column:
-        return F.transform(F.filter(labelled, lambda h: h["label"] == label),
-                           lambda h, i: record(h, _token(h["label"], i + 1)))
 
-    def numbered(labelled: Column) -> Column:
-        return F.array_sort(F.concat(*[of_label(labelled, label) for label in LABELS]))
+def _slot(h: Column) -> Column:
+    return F.array_position(F.expr(array_text(LABELS)), det_label(h["det"])).cast("int") - 1
 
-    if mode == "hash":
-        records = F.transform(ordered, lambda h: record(h, _hash_token(det_label(h["det"]), h["value"])))
-    else:
-        records = let(F.transform(ordered, lambda h: F.struct(
-            h["back"].alias("back"), h["det"].alias("det"), h["end"].alias("end"), h["value"].alias("value"),
-            det_label(h["det"]).alias("label"))), numbered)
 
-    def spliced(parts: Column, forward: Column) -> Column:
-        ahead = F.transform(forward, lambda h, i: F.concat(
-            piece(parts, F.coalesce(F.get(forward, i - 1)["end"], F.lit(0)), -h["back"]), h["token"]))
-        return F.concat(F.array_join(ahead, ""), piece(parts, F.element_at(forward, -1)["end"], F.length(text)))
+def _counted(counts: Column, h: Column) -> Column:
+    return let(_slot(h), lambda slot: F.transform(counts, lambda c, i: F.when(i == slot, c + 1).otherwise(c)))
 
-    return let(records, lambda back: F.struct(
-        let(chunks(text), lambda parts: let(F.reverse(back), lambda forward: spliced(parts, forward))).alias("text"),
-        F.transform(back, lambda h: F.struct(
-            h["token"].alias("token"), h["det"].alias("det"), (-h["back"]).alias("start"), h["end"].alias("end"),
-            h["value"].alias("value"))).alias("records"),
-    ))
 
+def _record(h: Column, token: Column) -> Column:
+    return F.struct(token.alias("token"), h["det"].alias("det"), (-h["back"]).alias("start"), h["end"].alias("end"),
+                    h["value"].alias("value"))
 
-def _folded(text: Column, ordered: Column, mode: str) -> Column:
-    """Redaction of overlapping hits: each is spliced over what those behind it have left."""
+
+def _spliced(text: Column, ordered: Column, mode: str) -> Column:
+    """Every hit is spliced over what those behind it have left.
+
+    Only the first characters of the tail are at hand (``near``); longer ones are closed off in runs (``far``, from the
+    last to the first).  A hit that reaches beyond what is at hand takes the runs back, so the text is copied once per
+    such hit and not once per hit.
+    """
     start = F.struct(
-        F.length(text).alias("pos"), F.lit("").alias("tail"),
+        F.length(text).alias("pos"), F.lit("").alias("near"), F.array().cast("array<string>").alias("far"),
         F.array_repeat(F.lit(0), len(LABELS)).alias("counts"),
-        F.array().cast(RECORD_TYPE).alias("records"),
     )
 
-    def step(acc: Column, h: Column) -> Column:
-        label = det_label(h["det"])
-        slot = F.array_position(F.expr(array_text(LABELS)), label).cast("int") - 1
-        token = _hash_token(label, h["value"]) if mode == "hash" else _token(label, F.get(acc["counts"], slot) + 1)
-        rest = F.when(
-            h["end"] <= acc["pos"],
-            F.concat(F.substr(text, h["end"] + 1, acc["pos"] - h["end"]), acc["tail"]),
-        ).otherwise(F.substr(acc["tail"], h["end"] - acc["pos"] + 1))
-        record = F.struct(
-            token.alias("token"), h["det"].alias("det"), (-h["back"]).alias("start"),
-            h["end"].alias("end"), h["value"].alias("value"),
-        )
-        return F.struct(
-            (-h["back"]).alias("pos"),
-            F.concat(token, rest).alias("tail"),
-            F.transform(acc["counts"], lambda c, i: F.when(i == slot, c + 1).otherwise(c)).alias("counts"),
-            F.concat(acc["records"], F.array(record)).alias("records"),
-        )
-
-    return F.aggregate(ordered, start, step, lambda acc: F.struct(
-        F.concat(F.left(text, acc["pos"]), acc["tail"]).alias("text"), acc["records"].alias("records"),
-    ))
+    def step(parts: Column):
+        def shifted(acc: Column, h: Column, near: Column, far: Column) -> Column:
+            long = F.length(near) > 2 * NEAR
+            return F.struct(
+                (-h["back"]).alias("pos"), F.when(long, F.left(near, F.lit(NEAR))).otherwise(near).alias("near"),
+                F.when(long, F.concat(far, F.array(F.substr(near, F.lit(NEAR + 1))))).otherwise(far).alias("far"),
+                _counted(acc["counts"], h).alias("counts"))
+
+        def one(acc: Column, h: Column) -> Column:
+            over = h["end"] - acc["pos"]
+            beyond = over > F.length(acc["near"])
+            whole = F.concat(acc["near"], F.array_join(F.reverse(acc["far"]), ""))
+            near = F.concat(_next_token(acc["counts"], h, mode), F.when(
+                over <= 0, F.concat(piece(parts, h["end"], acc["pos"]), acc["near"]))
+                .otherwise(F.substr(F.when(beyond, whole).otherwise(acc["near"]), over + 1)))
+            far = F.when(beyond, F.array().cast("array<string>")).otherwise(acc["far"])
+            return let(near, lambda n: shifted(acc, h, n, far))
+
+        return one
+
+    def finished(parts: Column) -> Column:
+        done = scan(ordered, start, RECORD_TYPE.removeprefix("array<")[:-1], step(parts),
+                    lambda acc, h: _record(h, _next_token(acc["counts"], h, mode)))
+        return let(done, lambda d: F.struct(
+            F.concat(F.left(text, d["state"]["pos"]), d["state"]["near"],
+                     F.array_join(F.reverse(d["state"]["far"]), "")).alias("text"),
+            d["out"].alias("records")))
+
+    return let(chunks(text), finished)
 
 
 def redaction(text: Column, hits: Column, mode: str = "mask") -> Column:
@@ -148,20 +146,16 @@ def redaction(text: Column, hits: Column, mode: str = "mask") -> Column:
 
     Hits are taken by start descending, ties in detection order, so a counter
     ``_001`` names the last occurrence.  Offsets are those of the original text;
-    overlapping hits therefore cut into each other's tokens, as specified.  Only
-    rows with such hits are folded hit by hit; all others are joined from pieces.
+    overlapping hits therefore cut into each other's tokens, as specified.  Time is
+    in proportion to the text and its hits, but for hits that reach over thousands of
+    characters of others' tokens: each of those copies what is behind it.
     """
-    def done(ordered: Column) -> Column:
-        overlap = F.exists(F.transform(ordered, lambda h, i: h["end"] > -F.get(ordered, i - 1)["back"]),
-                           lambda x: F.coalesce(x, F.lit(False)))
-        return F.when(overlap, _folded(text, ordered, mode)).otherwise(_joined(text, ordered, mode))
-
     ordered = F.array_sort(F.transform(hits, lambda h: F.struct(
         (-h["start"]).alias("back"), h["det"].alias("det"), h["end"].alias("end"),
         h["value"].alias("value"),
     )))
     untouched = F.struct(text.alias("text"), F.array().cast(RECORD_TYPE).alias("records"))
-    return F.when(F.size(hits) > 0, let(ordered, done)).otherwise(untouched)
+    return F.when(F.size(hits) > 0, let(ordered, lambda hs: _spliced(text, hs, mode))).otherwise(untouched)
 
 
 def record_types(records: Column) -> Column:

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import catalog as C
 from ..functions import detect as D
 from ..functions.masking import content_hash
+from ..functions.spans import let
 from ..functions.splice import merged, record_types, redaction
 
 MODES = ("mask", "hash", "tokenize")
+#: A numbered token as redaction writes it.
+STORED_TOKEN = r"\[[A-Z][A-Z_]*_[0-9]{3,}\]"
 
 
 def _redacted(df: DataFrame, text: str, mode: str, overlaps: str) -> DataFrame:
@@ -72,9 +75,13 @@ def tokenize(
     one session do not overwrite each other.  The redacted text itself comes from
     :func:`redact`, whose tokens are the same.
     """
-    rows = _redacted(df, text, "tokenize", overlaps).select(
-        tenant, session, doc, F.inline_outer("_red.records")
-    )
+    return _vault_rows(_redacted(df, text, "tokenize", overlaps).select(tenant, session, doc, "_red"),
+                       key, as_of, tenant, session, doc, ttl_hours)
+
+
+def _vault_rows(redacted: DataFrame, key: Column, as_of: Column, tenant: str, session: str, doc: str,
+                ttl_hours: int) -> DataFrame:
+    rows = redacted.select(tenant, session, doc, F.inline_outer("_red.records"))
     return rows.where(F.col("token").isNotNull()).select(
         tenant, session, doc, "token",
         D.det_type(F.col("det")).alias("entity_type"),
@@ -83,15 +90,32 @@ def tokenize(
     )
 
 
+def redact_to_vault(
+    df: DataFrame, key: Column, as_of: Column, *, text: str = "text",
+    tenant: str = "tenant_id", session: str = "session_id", doc: str = "doc_id",
+    ttl_hours: int = C.VAULT_TTL_HOURS, overlaps: str = "merge",
+) -> tuple[DataFrame, DataFrame]:
+    """Tokenised texts (keys and ``redacted_text``) and their vault rows, from one pass over the texts.
+
+    Texts are dealt by document once, after redaction.  Where both results end up in one job, Spark reuses that
+    exchange; grouping and joining by document need no other.
+    """
+    dealt = _redacted(df, text, "tokenize", overlaps).select(tenant, session, doc, "_red") \
+        .repartition(tenant, session, doc).select(tenant, session, doc, D.once(F.col("_red")).alias("_red"))
+    return (dealt.select(tenant, session, doc, F.col("_red.text").alias("redacted_text")),
+            _vault_rows(dealt, key, as_of, tenant, session, doc, ttl_hours))
+
+
 def restore(
     redacted: DataFrame, vault: DataFrame, key: Column, as_of: Column, *, text: str = "redacted_text",
     tenant: str = "tenant_id", session: str = "session_id", doc: str = "doc_id",
 ) -> DataFrame:
     """Put vaulted values back where they are still valid.
 
-    The vault is reduced to one small map per document before it meets the text.
-    Tokens are applied from the last record to the first, i.e. by descending
-    token number within a label.
+    The vault is reduced to one small map per document before it meets the text,
+    which is cut at its tokens once.  Tokens without a valid entry stay; of two
+    entries for one token the greater value counts.  Restored values are not
+    searched for tokens again.
     """
     valid = vault.where(F.col("expires_at") > as_of).select(
         tenant, session, doc,
@@ -100,14 +124,39 @@ def restore(
     )
     per_doc = valid.groupBy(tenant, session, doc).agg(F.array_sort(F.collect_list("pair")).alias("_pairs"))
     joined = redacted.join(per_doc, [tenant, session, doc], "left")
-    restored = F.aggregate(
-        F.reverse("_pairs"), F.col(text), lambda acc, p: F.replace(acc, p["token"], p["value"])
-    )
+    last_of_token = F.filter("_pairs", lambda p, i: ~F.get(F.col("_pairs"), i + 1)["token"].eqNullSafe(p["token"]))
     return joined.select(
-        *redacted.columns, F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(restored).alias("restored_text")
+        *redacted.columns,
+        F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(_put_back(F.col(text), last_of_token))
+        .alias("restored_text")
     )
 
 
+def _put_back(text: Column, pairs: Column) -> Column:
+    """The text with its tokens looked up in sorted pairs; halving finds a token, a map would be read through."""
+    def found(sorted_pairs: Column, token: Column) -> Column:
+        ends = F.struct(F.lit(0).alias("low"), F.size(sorted_pairs).alias("high"))
+
+        def halved(acc: Column, _: Column) -> Column:
+            middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+            below = F.get(sorted_pairs, middle)["token"] < token
+            return F.struct(F.when(below, middle + 1).otherwise(acc["low"]).alias("low"),
+                            F.when(below, acc["high"]).otherwise(middle).alias("high"))
+
+        halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_pairs) + F.lit(1))).cast("int"))
+        at = F.aggregate(halvings, ends, lambda acc, i: F.when(acc["low"] < acc["high"], halved(acc, i)).otherwise(acc),
+                         lambda acc: acc["low"])
+        return let(F.get(sorted_pairs, at), lambda p: F.when(p["token"] == token, p["value"]).otherwise(token))
+
+    pattern = F.lit(STORED_TOKEN)
+    return let(pairs, lambda known: let(
+        F.regexp_extract_all(text, pattern, F.lit(0)),
+        lambda tokens: F.array_join(F.transform(
+            F.split(text, STORED_TOKEN, -1),
+            lambda between, i: F.concat(between, F.when(
+                i < F.size(tokens), found(known, F.get(tokens, i))).otherwise(""))), "")))
+
+
 def invalidate_sessions(vault: DataFrame, sessions: DataFrame) -> DataFrame:
     """The vault without the rows of the given (tenant, session) pairs."""
     return vault.join(sessions.select("tenant_id", "session_id"), ["tenant_id", "session_id"], "left_anti")

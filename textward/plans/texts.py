@@ -405,8 +405,8 @@ def vault_entries(spark, sf):
 @query(f"WITH {O.DOCUMENTS} SELECT doc_id, sha256(text) AS restored_hash FROM d")
 def vault_restore(spark, sf):
     docs = _sessions(N.documents(spark, sf))
-    redacted = R.redact(docs, mode="tokenize").select("tenant_id", "session_id", "doc_id", "redacted_text")
-    restored = R.restore(redacted, _vault(docs), F.lit(VAULT_KEY), F.to_timestamp(F.lit("2024-06-01 12:00:00")))
+    redacted, vault = R.redact_to_vault(docs, F.lit(VAULT_KEY), F.to_timestamp(F.lit(AS_OF)))
+    restored = R.restore(redacted, vault, F.lit(VAULT_KEY), F.to_timestamp(F.lit("2024-06-01 12:00:00")))
     return restored.select("doc_id", content_hash(F.col("restored_text")).alias("restored_hash"))
 
 
