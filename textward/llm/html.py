@@ -2,16 +2,22 @@
 
 A page is cut into blocks at block-level tags.  The first pass classifies each block: what stands in menus, headers,
 footers, sidebars, forms, notices, adverts or comments is boilerplate; elsewhere link density, length and the share
-of function words decide, and short or middling blocks stay open.  The second pass gives open blocks the label of
-their nearest decided neighbours.  Inside an article or main element boilerplate needs its own evidence: open blocks
-there count as text, but for those up to LONG characters whose neighbours in it are both boilerplate, if the article
-has certain text at all.  Outside it, on pages that have one, both neighbours must be text.
+of function words, measured against that of the page, decide, and short or middling blocks stay open.  The second pass
+gives open blocks the label of their nearest decided neighbours.
+
+Pages without an article or main element rest on that alone.  A heading goes with what follows and vouches for nothing
+before it, and elements that are set apart count as neighbours only where there are no others.  If no block of such a
+page is long enough to be certain, prose from SHORT characters on under a heading is, or else whatever stands there.
+Inside an article or main element boilerplate needs its own evidence: open blocks there count as text, but for those
+up to LONG characters whose neighbours in it are both boilerplate, if the article has certain text at all.  Outside it,
+on pages that have one, both neighbours must be text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,8 +27,10 @@ from pyspark.sql import functions as F
 
 #: Characters from which a block can decide alone, and from which it is text for certain.
 SHORT, LONG = 70, 200
-#: Shares of function words for open and for certain text; share of characters in links that marks boilerplate.
+#: Shares of function words for open and for certain text, and the parts of the page's own share that do as well (a
+#: page in a language without listed words has none); share of characters in links that marks boilerplate.
 STOPS_LOW, STOPS_HIGH, LINKS = 0.30, 0.32, 0.20
+PART_LOW, PART_HIGH = 0.35, 0.60
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset "
@@ -50,6 +58,7 @@ _MARKUP = re.compile(
     re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 _HEADING = re.compile(r"h[1-6]\Z")
+_WORD = re.compile(r"[^\W\d_]+")
 
 #: Frequent function words of the languages at hand.
 _STOPS = frozenset(
@@ -89,7 +98,10 @@ def _sets_apart(attributes: str, in_main: bool) -> bool:
 def blocks(page: str) -> Iterator[Block]:
     """Blocks with text, in page order.  Tags may be unclosed, misnested or cut off."""
     opened: list[tuple[str, bool, bool]] = []  # tag, in main, apart
+    depth: Counter[str] = Counter()  # open elements by tag, so that an unmatched end tag costs nothing
     links, at, heading = 0, 0, False
+    link_depth, link_loose = 0, False  # where the link began: elements open, and whether in a paragraph or the like
+    in_loose = False
     hidden = 0  # depth of the stack at which hidden content began
     block = Block(False, False, False)
     loose_apart = False
@@ -110,15 +122,17 @@ def blocks(page: str) -> Iterator[Block]:
         closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
         if tag == "a":
             links = 0 if closing else 1
+            link_depth, link_loose = len(opened), in_loose
             continue
         if tag not in _BLOCKS and tag not in _HIDDEN:
             if tag == "br":
                 block.parts.append(" ")
             continue
         if closing:
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == tag:
-                    del opened[i:]
+            while depth[tag]:
+                last = opened.pop()[0]
+                depth[last] -= 1
+                if last == tag:
                     break
             if hidden > len(opened):
                 hidden = 0
@@ -133,20 +147,29 @@ def blocks(page: str) -> Iterator[Block]:
                 apart = apart or own or tag in _APART or tag == "header" and not in_main
                 in_main = in_main or tag in ("article", "main") and not apart
                 opened.append((tag, in_main, apart))
+                depth[tag] += 1
                 if tag in _HIDDEN and not hidden:
                     hidden = len(opened)
             if _HEADING.match(tag):
                 heading = True
         yield block
-        links = 0
+        if len(opened) < link_depth or link_loose and tag in _LOOSE:
+            links = 0  # its element ended without an end tag of the link
+        in_loose = not closing and tag in _LOOSE
+        link_loose = link_loose and bool(links)
         block = Block(in_main, apart or loose_apart, heading)
     text_until(len(page))
     yield block
 
 
-def _first_pass(b: Block) -> str:
+def _stop_words(text: str) -> tuple[int, int]:
+    """Function words and words of a text; signs around words do not matter."""
+    words = _WORD.findall(text.lower())
+    return sum(w in _STOPS for w in words), len(words)
+
+
+def _first_pass(b: Block, low: float, high: float, length: int = LONG) -> str:
     """"text", "other", or "open" for a block that its neighbours decide."""
-    words = b.text.split(" ")
     links = b.linked / max(len(b.text), 1)
     if b.apart or links > LINKS and not (b.main and links < 0.5):
         return "other"
@@ -156,27 +179,67 @@ def _first_pass(b: Block) -> str:
         return "other"
     if b.heading or len(b.text) < SHORT:
         return "open" if not b.linked or b.main else "other"
-    stops = sum(w.strip(".,;:!?\"'()").lower() in _STOPS for w in words) / len(words)
-    if stops >= STOPS_HIGH and len(b.text) > LONG:
+    stops, words = _stop_words(b.text)
+    share = stops / max(words, 1)
+    if share >= high and len(b.text) > length:
         return "text"
-    return "open" if stops >= STOPS_LOW or b.main else "other"
+    return "open" if share >= low or b.main else "other"
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the main text, white space collapsed, joined by blank lines; empty without any."""
-    if not page:
-        return ""
-    found = []
-    for b in blocks(page):
-        if b.parts:
-            b.text = " ".join(html.unescape("".join(b.parts)).split())
-            if b.text:
-                found.append(b)
-    labels = [_first_pass(b) for b in found]
+def _thresholds(found: list[Block]) -> tuple[float, float]:
+    """Shares of function words for open and for certain text on this page."""
+    prose = [_stop_words(b.text) for b in found
+             if not b.apart and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text)]
+    share = sum(s for s, _ in prose) / max(sum(w for _, w in prose), 1)
+    return min(STOPS_LOW, PART_LOW * share), min(STOPS_HIGH, PART_HIGH * share)
+
+
+def _without_article(found: list[Block], low: float, high: float) -> list[str]:
+    """Labels on a page that has no article or main element."""
+    labels = [_first_pass(b, low, high) for b in found]
+    if "text" not in labels:  # short pages: the first heading, if any, tells where the text begins
+        begins = next((i for i, b in enumerate(found) if b.heading and labels[i] == "open"), 0)
+        shorter = [_first_pass(b, low, high, SHORT) if i >= begins else x
+                   for i, (b, x) in enumerate(zip(found, labels, strict=True))]
+        if "text" not in shorter and found and found[begins].heading:
+            shorter = ["text" if x == "open" and i >= begins else x for i, x in enumerate(labels)]
+        labels = shorter
+    n = len(found)
+    before: list[tuple[int, str] | None] = [None] * n
+    after: list[tuple[int, str] | None] = [None] * n
+    last = apart = None
+    for i in range(n):
+        before[i] = last or apart
+        if labels[i] != "open":
+            last, apart = (last, (i, "other")) if found[i].apart else ((i, labels[i]), apart)
+    last = apart = None
+    for i in range(n - 1, -1, -1):
+        after[i] = last or apart
+        if labels[i] != "open":
+            last, apart = (last, (i, "other")) if found[i].apart else ((i, labels[i]), apart)
+        if found[i].heading:  # what follows a heading says nothing of what stands before it
+            last = apart = None
+    final = list(labels)
+    for i, label in enumerate(labels):
+        if label != "open":
+            continue
+        near = [(abs(i - x[0]), x[1], x is before[i], found[x[0]].apart) for x in (before[i], after[i]) if x]
+        near = [x for x in near if not x[3]] or near
+        if not near:
+            final[i] = "other"
+        elif found[i].heading and after[i]:
+            final[i] = after[i][1]
+        else:  # the nearer one, of two as near the one before
+            final[i] = min(near, key=lambda x: (x[0], not x[2]))[1]
+    return final
+
+
+def _with_article(found: list[Block], low: float, high: float) -> list[str]:
+    """Labels on a page with an article or main element."""
+    labels = [_first_pass(b, low, high) for b in found]
     decided = [i for i, x in enumerate(labels) if x != "open"]
-    whole = any(b.main for b in found)
     certain = any(b.main and x == "text" for b, x in zip(found, labels, strict=True))
-    before, after, j = -1, 0, 0
+    before, j = -1, 0
     final = list(labels)
     for i, label in enumerate(labels):
         if label != "open":
@@ -188,14 +251,24 @@ def main_text(page: str | None) -> str:
         near = [labels[x] for x in (before, after) if x >= 0 and found[x].main == found[i].main]
         if found[i].main:
             final[i] = "other" if near == ["other"] * 2 and certain and len(found[i].text) <= LONG else "text"
-        elif not near or whole:
+        else:
             final[i] = "text" if near == ["text"] * 2 else "other"
-        elif len(set(near)) == 1:
-            final[i] = near[0]
-        else:  # between text and boilerplate: headings go with what follows, the rest with the nearer one
-            nearer_before = before >= 0 and (after < 0 or i - before <= after - i)
-            final[i] = labels[after] if found[i].heading else labels[before if nearer_before else after]
-    return "\n\n".join(b.text for b, label in zip(found, final, strict=True) if label == "text")
+    return final
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the main text, white space collapsed, joined by blank lines; empty without any."""
+    if not page:
+        return ""
+    found = []
+    for b in blocks(page):
+        if b.parts:
+            b.text = " ".join(html.unescape("".join(b.parts)).split())
+            if b.text:
+                found.append(b)
+    classify = _with_article if any(b.main for b in found) else _without_article
+    labels = classify(found, *_thresholds(found))
+    return "\n\n".join(b.text for b, label in zip(found, labels, strict=True) if label == "text")
 
 
 def extract(page: Column) -> Column:
