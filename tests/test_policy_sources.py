@@ -83,6 +83,19 @@ def test_evaluation_corner_cases(spark, policy_dir):
     assert rows[3]["policy_action"] == "block" and rows[3]["triggered_rule_ids"] == ["n1"]
     assert rows[4]["policy_action"] == "escalate"
     assert rows[5]["policy_action"] == "allow"
+    assert [rows[i]["policies_evaluated"] for i in range(6)] == [2, 1, 2, 1, 2, 2]
+
+
+def test_rule_counts_equal_the_rows_they_replace(spark, policy_dir):
+    rules = to_rules(read_policies(spark, policy_dir))
+    texts = [(i, ("t1", "t2", None)[i % 3], ("developer", "guest")[i % 2],
+              ("Secret PLAN", "vendor a@b.co", "Project ABC", "", None)[i % 5]) for i in range(60)]
+    features = P.text_features(spark.createDataFrame(texts, "doc_id int, tenant_id string, user_role string, text string"), rules)
+    counts = {r["rule_id"]: (r["n_evaluated"], r["n_triggered"]) for r in P.rule_counts(features, rules).collect()}
+    rows = P.rule_results(features, rules, "doc_id", only_triggered=False).collect()
+    assert counts == {k: (60, sum(r["triggered"] for r in rows if r["rule_id"] == k)) for k in {r["rule_id"] for r in rows}}
+    assert sum(n for _, n in counts.values()) > 0 and len(counts) == 5
+    assert P.rule_counts(features.limit(0), rules).count() == 0
 
 
 def test_pattern_rules_can_ignore_case(spark, policy_dir):

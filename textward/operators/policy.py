@@ -238,10 +238,11 @@ def evaluate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     frameworks = F.array_sort(F.array_distinct(at([r.framework for r in ordered])))
     n = F.size("fired")
     evaluated = sum(1 for r in ordered if r.tenant_id is None)
-    total = F.lit(evaluated)
+    total, policies = F.lit(evaluated), F.lit(len(shared := {r.policy_id for r in ordered if r.tenant_id is None}))
     for tenant in sorted({r.tenant_id for r in ordered if r.tenant_id is not None}):
-        own = sum(1 for r in ordered if r.tenant_id == tenant)
-        total = total + F.when(F.col("tenant_id") == tenant, own).otherwise(0)
+        own = [r for r in ordered if r.tenant_id == tenant]
+        total = total + F.when(F.col("tenant_id") == tenant, len(own)).otherwise(0)
+        policies = policies + F.when(F.col("tenant_id") == tenant, len({r.policy_id for r in own} - shared)).otherwise(0)
     action = F.expr(final_action(ordered))
     top = lambda values: F.expr(f"{array_text(values)}[fired[0]]")
     summary = F.when(n == 0, F.concat(
@@ -263,6 +264,7 @@ def evaluate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         frameworks.alias("frameworks_triggered"),
         F.array_sort(F.array_distinct(at([r.remediation for r in ordered]))).alias("remediation_steps"),
         total.alias("rules_evaluated"),
+        policies.alias("policies_evaluated"),
         summary.alias("policy_explanation"),
     )
 
@@ -289,6 +291,22 @@ def rule_results(df: DataFrame, rules: Sequence[Rule], *keys: str, only_triggere
     return rows.where("rule_id IS NOT NULL")
 
 
+def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per rule: how many texts were evaluated and how many triggered it.
+
+    One counter per rule in a single aggregate, so nothing is multiplied by the
+    rules; rules that never fired stay, and without texts there are no rows.
+    """
+    ordered, tests = evaluation_order(rules), _text_tests(rules)
+    totals = with_context(df).agg(
+        F.count("*").alias("n"), *[F.expr(f"count_if({_rule_test(r, tests)})").alias(f"n{k}") for k, r in enumerate(ordered)])
+    rows = ", ".join(
+        f"named_struct('policy_id', {literal(r.policy_id)}, 'rule_id', {literal(r.rule_id)}, 'rule_name', {literal(r.name)}, "
+        f"'action', {literal(r.action)}, 'severity', {literal(r.severity)}, 'n_evaluated', n, 'n_triggered', n{k})"
+        for k, r in enumerate(ordered))
+    return totals.where("n > 0").select(F.expr(f"inline(array({rows}))"))
+
+
 def merge_actions(inspection: Column, policy: Column) -> Column:
     """The stricter of two actions: block, redact, alert, allow."""
     order = ("block", "redact", "alert")

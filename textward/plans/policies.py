@@ -195,22 +195,30 @@ _FINRA = [r for r in RULES if r.policy_id == "finra_v1"]
 SELECT rule_id, rule_name, action, severity, triggered, count(*) AS n_docs FROM (
   SELECT rule_id, rule_name, action, severity, triggered FROM rr) GROUP BY ALL""")
 def policy_test(spark, sf):
-    rows = P.rule_results(features(spark, sf, _FINRA), _FINRA, "doc_id", only_triggered=False)
-    names = {r.rule_id: r.name for r in _FINRA}
-    name = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    return rows.groupBy("rule_id", "action", "severity", "triggered").agg(F.count("*").alias("n_docs")).select(
-        "rule_id", name[F.col("rule_id")].alias("rule_name"), "action", "severity", "triggered", "n_docs")
+    counts = P.rule_counts(features(spark, sf, _FINRA), _FINRA)
+    missed = F.col("n_evaluated") - F.col("n_triggered")
+    both = F.array(F.struct(F.lit(True).alias("triggered"), F.col("n_triggered").alias("n_docs")),
+                   F.struct(F.lit(False).alias("triggered"), missed.alias("n_docs")))
+    return counts.select("rule_id", "rule_name", "action", "severity", F.inline(both)).where("n_docs > 0")
+
+
+@query(_decided(_FINRA) + f"""
+SELECT doc_id, policy_action, rules_evaluated, {len({r.policy_id for r in _FINRA})} AS policies_evaluated, triggered_rules FROM pe""")
+def policy_test_actions(spark, sf):
+    """The overall action of a policy test for every text, with what was evaluated."""
+    e = P.evaluate(features(spark, sf, _FINRA), _FINRA)
+    return e.select("doc_id", "policy_action", "rules_evaluated", "policies_evaluated",
+                    F.array_join("triggered_rule_ids", ",").alias("triggered_rules"))
 
 
 @query(_evaluated(RULES) + """
 SELECT policy_id, rule_id, action, count(*) FILTER (triggered) AS n_triggered,
   round(count(*) FILTER (triggered) / count(*), 6) AS share FROM rr GROUP BY ALL""")
 def rule_coverage(spark, sf):
-    """How often each rule fired; rules that never fired stay, through the per-rule counters."""
-    rows = P.rule_results(features(spark, sf, RULES), RULES, "doc_id", only_triggered=False)
-    return rows.groupBy("policy_id", "rule_id", "action").agg(
-        F.count_if("triggered").alias("n_triggered"),
-        F.round(F.count_if("triggered") / F.count("*"), 6).alias("share"))
+    """How often each rule fired; rules that never fired stay."""
+    return P.rule_counts(features(spark, sf, RULES), RULES).select(
+        "policy_id", "rule_id", "action", "n_triggered",
+        F.round(F.col("n_triggered") / F.col("n_evaluated"), 6).alias("share"))
 
 
 @query(_evaluated(RULES) + """
