@@ -9,6 +9,7 @@ from ..functions import catalog as C
 from ..functions.spans import PLAIN, array_text, literal
 from . import limits as L
 from . import threats as T
+from .asof import as_of_join
 
 
 def valid_registrations(registrations: DataFrame) -> DataFrame:
@@ -50,10 +51,19 @@ def _named(position: Column) -> Column:
     return F.get(F.expr(array_text(C.AGENT_RISKS)), (position - 1).cast("int"))
 
 
-def decide_without_limit(calls: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every check but the rate limit, in order; the first that fails decides."""
+def profiles_at(calls: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Calls with the profile of their agent that was valid at the time of the call."""
+    rest = [c for c in registrations.columns if c not in ("agent_id", "registered_at", "registration_id")]
+    return as_of_join(calls, registrations, ["agent_id"], "ts", "registered_at", rest, "registration_id")
+
+
+def decide_without_limit(calls: DataFrame, profiles: DataFrame, then: bool = False) -> DataFrame:
+    """Every check but the rate limit, in order; the first that fails decides.
+
+    With ``then``, ``profiles`` are all registrations and the one valid at the time of a call counts, not the last.
+    """
     scanned = with_tool_risk(calls).withColumn("_threats", T.argument_threats(F.col("arguments")))
-    j = scanned.join(profiles, "agent_id", "left")
+    j = profiles_at(scanned, profiles) if then else scanned.join(profiles, "agent_id", "left")
     threat_rank = F.coalesce(F.array_max(F.transform("_threats", lambda t: rank(t["risk"]))), F.lit(0))
     staged = j.select(
         *calls.columns, "required_permissions", "needs_escalation", "permissions", "max_risk",
@@ -69,7 +79,7 @@ def decide_without_limit(calls: DataFrame, profiles: DataFrame) -> DataFrame:
     above = (F.col("_rank") >= critical) & (F.col("max_risk") != "critical")
     approval = F.col("needs_escalation") | (F.col("_rank") >= rank(F.col("require_approval_above")))
     return staged.select(
-        *calls.columns, "threats", "sandbox_mode", active.alias("_active"),
+        *calls.columns, "required_permissions", "threats", "sandbox_mode", active.alias("_active"),
         F.when(~active | dangerous | missing | above, "deny").when(approval, "escalate")
         .when(F.col("sandbox_mode"), "sandbox").otherwise("allow").alias("decision"),
         F.when(~active | dangerous, "critical").otherwise(risk).alias("risk_level"),
@@ -86,14 +96,15 @@ def decide_without_limit(calls: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def decide(
     calls: DataFrame, profiles: DataFrame, limit: int = C.AGENT_CALLS, window_seconds: int = C.AGENT_WINDOW_SECONDS,
+    then: bool = False,
 ) -> DataFrame:
     """The full decision.  The rate limit is tested first, but only calls that pass everything count."""
-    d = decide_without_limit(calls, profiles)
+    d = decide_without_limit(calls, profiles, then)
     marked = d.withColumn("_counts", F.col("_active") & (F.col("decision") != "deny"))
     folded = L.window_admission(marked, "agent_id", "ts", ["call_id"], "_counts", limit, window_seconds)
     hit = F.col("limited") & F.col("_active")
     return folded.select(
-        *calls.columns, "threats", "sandbox_mode",
+        *calls.columns, "required_permissions", "threats", "sandbox_mode",
         F.when(hit, "deny").otherwise(F.col("decision")).alias("decision"),
         F.when(hit, False).otherwise(F.col("decision").isin("allow", "sandbox")).alias("allowed"),
         F.when(hit, "medium").otherwise(F.col("risk_level")).alias("risk_level"),

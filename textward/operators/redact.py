@@ -86,6 +86,7 @@ def _vault_rows(redacted: DataFrame, key: Column, as_of: Column, tenant: str, se
         tenant, session, doc, "token",
         D.det_type(F.col("det")).alias("entity_type"),
         F.aes_encrypt(F.encode("value", "UTF-8"), key, F.lit("GCM")).alias("encrypted_value"),
+        as_of.alias("created_at"),
         (as_of + F.make_dt_interval(hours=F.lit(ttl_hours))).alias("expires_at"),
     )
 
@@ -132,6 +133,29 @@ def restore(
     )
 
 
+def restore_then(
+    requests: DataFrame, vault: DataFrame, key: Column, at: str = "asked_at", *, text: str = "redacted_text",
+    tenant: str = "tenant_id", session: str = "session_id", doc: str = "doc_id",
+) -> DataFrame:
+    """Put back the values that were valid when each request was made: created by then and not yet expired.
+
+    An interval join with equal keys: requests and vault meet by document, and intervals are tested in the document's
+    small list of entries.  Of several valid entries for one token the last created counts.  A request without a time
+    restores nothing.
+    """
+    value = F.decode(F.aes_decrypt("encrypted_value", key, F.lit("GCM")), "UTF-8").alias("value")
+    entries = vault.select(tenant, session, doc, F.struct("token", "created_at", value, "expires_at").alias("entry"))
+    per_doc = entries.groupBy(tenant, session, doc).agg(F.array_sort(F.collect_list("entry")).alias("_entries"))
+    joined = requests.join(per_doc, [tenant, session, doc], "left")
+    valid = F.filter("_entries", lambda e: (e["created_at"] <= F.col(at)) & (e["expires_at"] > F.col(at)))
+    staged = joined.select(*requests.columns, D.once(valid).alias("_valid"))
+    last_of_token = F.filter("_valid", lambda e, i: ~F.get(F.col("_valid"), i + 1)["token"].eqNullSafe(e["token"]))
+    return staged.select(
+        *requests.columns,
+        F.when(F.coalesce(F.size("_valid") > 0, F.lit(False)), _put_back(F.col(text), last_of_token))
+        .otherwise(F.col(text)).alias("restored_text"))
+
+
 def _put_back(text: Column, pairs: Column) -> Column:
     """The text with its tokens looked up in sorted pairs; halving finds a token, a map would be read through."""
     def found(sorted_pairs: Column, token: Column) -> Column:

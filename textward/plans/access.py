@@ -9,6 +9,7 @@ from ..operators import agents as A
 from ..operators import limits as L
 from ..operators import retrieval as G
 from ..operators import threats as T
+from ..operators.asof import as_of_join
 from . import inputs as N
 from . import oracle as O
 from .conversations import stamp
@@ -277,10 +278,41 @@ def tool_call_checks(spark, sf):
 
 
 @query(f"WITH RECURSIVE {_DECIDED}, {_FOLD} SELECT call_id, agent_id, decision, risk_level, reason, decision IN ('allow', 'sandbox') AS allowed, "
-       "decision = 'escalate' AS requires_approval FROM final")
+       "decision = 'escalate' AS requires_approval, array_to_string(required, ',') AS required_permissions FROM final")
 def tool_call_decisions(spark, sf):
     return _decisions(spark, sf).select(
-        "call_id", "agent_id", "decision", "risk_level", "reason", "allowed", "requires_approval")
+        "call_id", "agent_id", "decision", "risk_level", "reason", "allowed", "requires_approval",
+        F.array_join("required_permissions", ",").alias("required_permissions"))
+
+
+_THEN = _DECIDED.replace("FROM tc LEFT JOIN profiles p USING (agent_id)", """FROM tc ASOF LEFT JOIN (
+    SELECT * FROM agents QUALIFY row_number() OVER (PARTITION BY agent_id, registered_at ORDER BY registration_id DESC) = 1) p
+  ON tc.agent_id = p.agent_id AND tc.ts >= p.registered_at""")
+
+
+@query(f"WITH RECURSIVE {_THEN}, {_FOLD} SELECT call_id, agent_id, decision, risk_level, reason, decision IN ('allow', 'sandbox') AS allowed FROM final")
+def tool_call_decisions_then(spark, sf):
+    """Tool calls decided by the profile that was valid when they were made."""
+    d = A.decide(N.tool_calls(spark, sf), N.agents(spark, sf), _LIMIT, _WINDOW, then=True)
+    return d.select("call_id", "agent_id", "decision", "risk_level", "reason", "allowed")
+
+
+@query(f"""WITH {O.TOOL_CALLS}, {O.AUDIT}, k AS (SELECT *, 's' || (call_id % 97) AS session_id FROM calls),
+w AS (SELECT session_id, ts, max_by(risk_score, event_id) AS risk_score, max_by(action, event_id) AS action, max(event_id) AS event_id
+  FROM a WHERE event_type <> 'click' GROUP BY ALL)
+SELECT call_id, w.event_id AS risk_event, w.risk_score AS session_risk, w.action AS session_action,
+  coalesce(w.risk_score >= 0.7, false) AS risky FROM k ASOF LEFT JOIN w ON k.session_id = w.session_id AND k.ts > w.ts""")
+def session_risk_at_call(spark, sf):
+    """The risk a session had when one of its tool calls was made: that of its last audited event before the call."""
+    calls = N.tool_calls(spark, sf).select(
+        "call_id", "ts", F.concat(F.lit("s"), (F.col("call_id") % 97).cast("string")).alias("session_id"))
+    audited = N.audit_events(spark, sf).where("event_type <> 'click'").select(
+        "session_id", F.col("ts").alias("seen_at"), F.col("event_id").alias("risk_event"), "event_id",
+        F.col("risk_score").alias("session_risk"), F.col("action").alias("session_action"))
+    j = as_of_join(calls, audited, ["session_id"], "ts", "seen_at", ["risk_event", "session_risk", "session_action"],
+                   "event_id", strict=True)
+    return j.select("call_id", "risk_event", "session_risk", "session_action",
+                    F.coalesce(F.col("session_risk") >= 0.7, F.lit(False)).alias("risky"))
 
 
 @query(f"WITH RECURSIVE {_DECIDED}, {_FOLD} SELECT agent_id, count(*) AS calls, count(*) FILTER (hit) AS limited FROM final GROUP BY ALL")

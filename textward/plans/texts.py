@@ -410,6 +410,20 @@ def vault_restore(spark, sf):
     return restored.select("doc_id", content_hash(F.col("restored_text")).alias("restored_hash"))
 
 
+@query(_REDACT + f""", {MERGED}, {O.redaction(source='m')}
+SELECT doc_id, doc_id % 48 > 6 AND doc_id % 48 <= 30 AS valid,
+  sha256(CASE WHEN doc_id % 48 > 6 AND doc_id % 48 <= 30 THEN d.text ELSE redacted_text END) AS restored_hash FROM d JOIN r USING (doc_id)""")
+def vault_restore_then(spark, sf):
+    """Texts tokenised over two days, all asked for after 30 hours: entries of later and of expired hours do not count."""
+    docs = _sessions(N.documents(spark, sf))
+    hour = (F.col("doc_id") % 48).cast("int")
+    created = F.to_timestamp(F.lit(AS_OF)) + F.make_dt_interval(hours=hour)
+    redacted, vault = R.redact_to_vault(docs, F.lit(VAULT_KEY), created)
+    asked = redacted.withColumn("asked_at", F.to_timestamp(F.lit("2024-06-02 06:00:00")))
+    return R.restore_then(asked, vault, F.lit(VAULT_KEY)).select(
+        "doc_id", ((hour > 6) & (hour <= 30)).alias("valid"), content_hash(F.col("restored_text")).alias("restored_hash"))
+
+
 @query(_REDACT + f""", {MERGED},
 vv AS (SELECT 't' || (doc_id % 3) AS tenant_id, d.source AS session_id, doc_id FROM m JOIN d USING (doc_id)),
 gone AS (SELECT DISTINCT 't' || (doc_id % 3) AS tenant_id, source AS session_id FROM documents WHERE doc_id % 5 = 0)
