@@ -11,6 +11,7 @@ from ..functions.masking import content_hash
 from ..operators import audit as U
 from ..operators import inspect as I
 from ..operators import redact as R
+from ..operators import rollups as RU
 from ..operators import sessions as H
 from ..sources import files as FS
 from . import access as X
@@ -347,6 +348,41 @@ def endpoint_latency(spark, sf):
     return U.endpoint_latency(events(spark, sf), "event_type", "processing_ms")
 
 
+_PERIOD = ("2024-01-08", "2024-01-22")
+
+
+def _period(spark, sf, *by):
+    """Two weeks of the log, answered from its roll-up by the hour."""
+    return RU.period(RU.hourly(events(spark, sf)), *[F.to_timestamp(F.lit(t)) for t in _PERIOD], *by)
+
+
+@query(f"""WITH {O.AUDIT} SELECT tenant_id, action, count(*) AS events, count(*) FILTER (risk_score > 0.7) AS high_risk,
+  (sum(processing_ms) // count(*))::BIGINT AS avg_ms, max(processing_ms) AS max_ms FROM a
+WHERE ts >= TIMESTAMP '{_PERIOD[0]}' AND ts < TIMESTAMP '{_PERIOD[1]}' GROUP BY ALL""")
+def rollup_counts(spark, sf):
+    return _period(spark, sf, "tenant_id", "action").select("tenant_id", "action", "events", "high_risk", "avg_ms", "max_ms")
+
+
+@query(f"""WITH {O.AUDIT} SELECT event_type, count(*) AS requests, true AS users_within_error, true AS quantiles_within_error FROM a
+WHERE ts >= TIMESTAMP '{_PERIOD[0]}' AND ts < TIMESTAMP '{_PERIOD[1]}' GROUP BY ALL""")
+def rollup_accuracy(spark, sf):
+    """Sketched users and latency quantiles of a period against exact ones, within four times their stated errors."""
+    exact = events(spark, sf).where((F.col("ts") >= _PERIOD[0]) & (F.col("ts") < _PERIOD[1]))
+    sketched = _period(spark, sf, "event_type")
+    j = exact.join(sketched.select("event_type", "users", "p50", "p95", "p99"), "event_type")
+    ranks = [f(F.col("processing_ms"), F.col(p)) for p in ("p50", "p95", "p99") for f in (lambda v, q: v < q, lambda v, q: v <= q)]
+    counted = j.groupBy("event_type").agg(
+        F.count("*").alias("requests"), F.count_distinct("user_id").alias("n"), F.first("users").alias("users"),
+        *[F.count_if(t).alias(f"r{i}") for i, t in enumerate(ranks)])
+    # The share of values below and up to a quantile must enclose it, give or take the error.
+    room = 4 * RU.RANK_ERROR
+    share = lambda i: F.col(f"r{i}") / F.col("requests")
+    enclosed = [(share(2 * i) <= q + room) & (share(2 * i + 1) >= q - room) for i, q in enumerate((0.5, 0.95, 0.99))]
+    return counted.select("event_type", "requests",
+                          (F.abs(F.col("users") - F.col("n")) <= 4 * RU.DISTINCT_ERROR * F.col("n") + 1).alias("users_within_error"),
+                          (enclosed[0] & enclosed[1] & enclosed[2]).alias("quantiles_within_error"))
+
+
 # ------------------------------------------------------------------ evidence and joins
 @query(f"""WITH RECURSIVE {X._DECIDED}, {X._FOLD}, {O.META}, u AS (SELECT *, 'analyst' AS user_role FROM m)
 SELECT 'document' AS kind, doc_id AS subject_id, CASE WHEN NOT is_quarantined AND {X.ROLE} >= {X.CLASS} THEN 'allowed' ELSE 'denied' END AS outcome FROM u
