@@ -467,18 +467,57 @@ def file_admission(spark, sf):
     return FS.admission(f).select("doc_id", "ext", "reject_reason")
 
 
-@query(f"""WITH {O.DOCUMENTS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'txt' ELSE 'eml' END AS ext,
-  sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE 'a@x.org' || chr(10) || source || '@y.org' || chr(10) || 'Document ' || doc_id || chr(10) || text END) AS text_hash FROM d""")
-def file_texts(spark, sf):
-    """Documents as plain-text files and as e-mails, through the file reader."""
+_KINDS = ("txt", "csv", "json", "eml", "eml")
+_CSV = """'id,source,text' || chr(10) || CASE WHEN doc_id % 2 = 1 THEN '0,none,' || chr(10) ELSE '' END
+  || doc_id || ',' || source || ',"' || replace(text, '"', '""') || '"' || chr(10)"""
+
+
+def files(spark, sf):
+    """Documents as files: plain texts, CSV and JSON files, nested mails in base 64 and mails in quoted-printable."""
     d = N.documents(spark, sf)
-    mail = F.concat(
-        F.lit("From: a@x.org\nTo: "), F.col("source"), F.lit("@y.org\nSubject: Document "), F.col("doc_id").cast("string"),
-        F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.col("text"))
-    plain = F.col("doc_id") % 2 == 0
-    f = d.select("doc_id", F.when(plain, "txt").otherwise("eml").alias("ext"),
-                 F.encode(F.when(plain, F.col("text")).otherwise(mail), "UTF-8").alias("content"))
-    return FS.extract_text(f, "doc_id").select("doc_id", "ext", content_hash(F.col("text")).alias("text_hash"))
+    doc = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("From: a@x.org\nTo: "), F.col("source"), F.lit("@y.org\nSubject: Document "), doc, F.lit("\n"))
+    utf8 = F.encode("text", "UTF-8")
+    nested = F.concat(
+        head, F.lit('Content-Type: multipart/mixed; boundary="one"\n\n--one\nContent-Type: multipart/alternative; boundary="two"\n\n'
+                    "--two\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(utf8),
+        F.lit("\n--two\nContent-Type: text/html\n\n<p>not text</p>\n--two--\n--one\nContent-Type: application/pdf\n\n%PDF\n--one--\n"))
+    quoted = F.concat(head, F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n"),
+                      F.regexp_replace(F.hex(utf8), "(..)", "=$1"))
+    table = F.concat(F.lit("id,source,text\n"), F.when(F.col("doc_id") % 2 == 1, "0,none,\n").otherwise(""), doc, F.lit(","),
+                     "source", F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"\n'))
+    tree = F.to_json(F.struct("doc_id", F.struct("source", F.array("text").alias("parts")).alias("body")))
+    kind = F.col("doc_id") % len(_KINDS)
+    content = F.when(kind == 0, F.col("text")).when(kind == 1, table).when(kind == 2, tree).when(kind == 3, nested).otherwise(quoted)
+    return d.select("doc_id", N.by_index(_KINDS, F.col("doc_id")).alias("ext"), F.encode(content, "UTF-8").alias("content"))
+
+
+@query(f"""WITH {O.DOCUMENTS} SELECT doc_id, ({list(_KINDS)})[doc_id % 5 + 1] AS ext,
+  sha256(CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN {_CSV}
+    WHEN 2 THEN json_object('body', json_object('parts', json_array(text), 'source', source), 'doc_id', doc_id)::VARCHAR
+    ELSE 'a@x.org' || chr(10) || source || '@y.org' || chr(10) || 'Document ' || doc_id || chr(10) || text END) AS text_hash FROM d""")
+def file_texts(spark, sf):
+    """Documents as files of every kind that has a reader, through the reader."""
+    return FS.extract_text(files(spark, sf), "doc_id").select("doc_id", "ext", content_hash(F.col("text")).alias("text_hash"))
+
+
+_ROW = "CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 1 END::BIGINT"
+_PLACES = [("csv", "0::BIGINT", f"'{c}'", f"'{c}'", "TRUE") for c in ("id", "source", "text")] + [
+    ("csv", "1::BIGINT", "'id'", "'0'", "doc_id % 2 = 1"), ("csv", "1::BIGINT", "'source'", "'none'", "doc_id % 2 = 1"),
+    ("csv", _ROW, "'id'", "doc_id::VARCHAR", "TRUE"), ("csv", _ROW, "'source'", "source", "TRUE"), ("csv", _ROW, "'text'", "text", "text <> ''"),
+    ("json", "NULL::BIGINT", "'$.doc_id'", "doc_id::VARCHAR", "TRUE"), ("json", "NULL::BIGINT", "'$.body.source'", "source", "TRUE"),
+    ("json", "NULL::BIGINT", "'$.body.parts[0]'", "text", "TRUE")]
+_VALUES = "v AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{ext}' AS ext, {row} AS row, {path} AS path, {value} AS text FROM d WHERE doc_id % 5 = {1 if ext == 'csv' else 2} AND {where}"
+    for ext, row, path, value, where in _PLACES) + ")"
+
+
+@query(f"""WITH {O.DOCUMENTS}, {_VALUES}, {O.hits('v', 'doc_id, ext, row, path')}, {O.TYPED}
+SELECT doc_id, ext, row, path, entity_type, count(*) AS n FROM e GROUP BY ALL""")
+def file_findings(spark, sf):
+    """Entities of JSON and CSV files with the key or the row and column they stand in."""
+    found = I.entity_rows(FS.file_values(files(spark, sf), "doc_id"), "doc_id", "ext", "row", "path", text="value")
+    return found.groupBy("doc_id", "ext", "row", "path", "entity_type").agg(F.count("*").alias("n"))
 
 
 @query(f"""{O.INSPECTED} SELECT sum(CASE WHEN value IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS entities, 0::BIGINT AS leaked FROM e""")

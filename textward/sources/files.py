@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import email
+import io
+import itertools
+import json
 import re
 from collections.abc import Iterator
 from email.errors import MessageError
@@ -12,6 +16,7 @@ from email.message import Message
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import catalog as C
 
@@ -63,19 +68,19 @@ def _mail(content: bytes) -> str:
     return "\n".join(parts)
 
 
-def _mails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with ``text`` or ``error`` filled in from ``_mail``, which leaves."""
-    for batch in batches:
-        columns = {name: batch.column(name) for name in batch.schema.names if name != "_mail"}
-        texts, errors = columns["text"].to_pylist(), columns["error"].to_pylist()
-        for i, content in enumerate(batch.column("_mail")):
-            if content.is_valid:
-                try:
-                    texts[i] = _mail(content.as_py())
-                except Exception:  # whatever a broken mail raises, it is not judged as clean
-                    errors[i] = "not a mail"
-        columns |= {"text": pa.array(texts, columns["text"].type), "error": pa.array(errors, columns["error"].type)}
-        yield pa.RecordBatch.from_pydict(columns)
+@F.arrow_udf(StructType().add("text", "string").add("error", "string"))
+def _mail_texts(contents: pa.Array) -> pa.Array:
+    """Text or error of each mail; null contents are no mails."""
+    out = []
+    for content in contents:
+        if not content.is_valid:
+            out.append(None)
+            continue
+        try:
+            out.append({"text": _mail(content.as_py()), "error": None})
+        except Exception:  # whatever a broken mail raises, it is not judged as clean
+            out.append({"text": None, "error": "not a mail"})
+    return pa.array(out, pa.struct([("text", pa.string()), ("error", pa.string())]))
 
 
 def extract_text(files: DataFrame, *keys: str) -> DataFrame:
@@ -91,7 +96,77 @@ def extract_text(files: DataFrame, *keys: str) -> DataFrame:
     text = F.when(ext.isin("txt", "csv"), raw).when(ext == "json", document)
     error = F.when(F.col("content").isNull(), "no content").when(~ext.isin("txt", "csv", "json", "eml"), "no reader") \
         .when((ext == "json") & document.isNull(), "not JSON")
-    read = files.select(*keys, "ext", text.alias("text"), error.alias("error"),
-                        F.when(ext == "eml", F.col("content")).alias("_mail"))
-    return read.mapInArrow(_mails, read.drop("_mail").schema).select(
-        *keys, "ext", "text", F.coalesce(F.col("error").isNull(), F.lit(False)).alias("extracted"), "error")
+    mail = _mail_texts(F.when(ext == "eml", F.col("content")))
+    read = files.select(*keys, "ext", text.alias("_text"), error.alias("_error"), mail.alias("_mail"))
+    failed = F.coalesce("_error", "_mail.error")
+    return read.select(*keys, "ext", F.when(failed.isNull(), F.coalesce("_text", "_mail.text")).alias("text"),
+                       failed.isNull().alias("extracted"), failed.alias("error"))
+
+
+class _Pairs(list):
+    """Members of a JSON object; a name may occur twice."""
+
+
+def _leaves(document) -> Iterator[tuple[str, str]]:
+    """Path and value of every leaf of a parsed JSON document but nulls, in document order."""
+    todo = [("$", document)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, _Pairs):
+            todo += reversed([(f"{path}.{k}" if re.fullmatch(r"\w+", k) else f"{path}[{json.dumps(k, ensure_ascii=False)}]", v)
+                              for k, v in node])
+        elif isinstance(node, list):
+            todo += reversed([(f"{path}[{i}]", v) for i, v in enumerate(node)])
+        elif node is not None:
+            yield path, node if isinstance(node, str) else json.dumps(node)
+
+
+def _cells(text: str) -> Iterator[tuple[int, str, str]]:
+    """Row, column name and value of every CSV cell that is not empty; the header is row 0."""
+    csv.field_size_limit(max(len(text), 1))
+    names: list[str] = []
+    for row, cells in enumerate(csv.reader(io.StringIO(text, newline=""))):
+        names = names if row else cells
+        for i, cell in enumerate(cells):
+            if cell:
+                yield row, names[i] if i < len(names) else f"column {i + 1}", cell
+
+
+def _file_values(ext: str, text: str) -> Iterator[tuple[int | None, str | None, str | None, str | None]]:
+    text = text.removeprefix("\ufeff")
+    try:
+        if ext == "csv":
+            yield from ((row, path, value, None) for row, path, value in _cells(text))
+        else:
+            document = json.loads(text, object_pairs_hook=_Pairs, parse_int=str, parse_float=str)
+            yield from ((None, path, value, None) for path, value in _leaves(document))
+    except (ValueError, RecursionError, csv.Error):
+        yield None, None, None, "not JSON" if ext == "json" else "not CSV"
+
+
+def _values_of(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """The values of each file, the other columns repeated, in batches of so many rows however large a file is."""
+    for batch in batches:
+        kept = [n for n in batch.schema.names if n != "_raw"]
+        values = ((i, *v) for i in range(batch.num_rows)
+                  for v in _file_values(batch.column("ext")[i].as_py(), batch.column("_raw")[i].as_py()))
+        while block := list(itertools.islice(values, rows)):
+            at, row, path, value, error = zip(*block)
+            taken = batch.select(kept).take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(row, pa.int64()), *(pa.array(x, pa.string()) for x in (path, value, error))],
+                [*kept, "row", "path", "value", "error"])
+
+
+def file_values(files: DataFrame, *keys: str) -> DataFrame:
+    """``ext, row, path, value, error``: the values of JSON and CSV files one by one, so that a finding names its place.
+
+    JSON gives a row for every string, number (as written) and boolean with its path (``$.a[0]``, names that are no words in quotes);
+    CSV one for every cell that is not empty, its column as path and its row, where the header is row 0 and is given
+    too, in case it is data.  A cell beyond the header is named by its number.  A file that cannot be read gives one
+    row with an error (after the cells read before it), an empty CSV file none, other kinds and files without content are left out.
+    """
+    raw = F.make_valid_utf8(F.col("content").cast("string"))
+    read = files.where(F.col("ext").isin("json", "csv") & F.col("content").isNotNull()).select(*keys, "ext", raw.alias("_raw"))
+    schema = read.drop("_raw").schema.add("row", "long").add("path", "string").add("value", "string").add("error", "string")
+    return read.mapInArrow(_values_of, schema)
