@@ -8,7 +8,7 @@ from textward.plans.registry import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 PYTHON = {"tool_call_decisions", "agent_rate_limits", "agent_call_counters", "tool_call_log", "approval_queue",
-          "access_control_log", "token_bucket", "file_findings", "file_texts", "tenant_keyword_rules"}
+          "access_control_log", "token_bucket", "file_findings", "file_texts", "tenant_keyword_rules", "tool_call_decisions_then"}
 BATCH = [n for n in REGISTRY if not n.startswith("stream_")]
 
 
