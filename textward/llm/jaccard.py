@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .storage import staged
 
-#: N-grams of a range that are sorted together in one task.
-RANGE = 2_000_000
+#: N-grams of a range that are sorted together in one task, and rows of an Arrow batch that go back to Spark.
+RANGE, BATCH = 1_000_000, 65_536
 #: Fragments in which the overlap of a pair is counted.
 FRAGMENTS = 8
 #: Times that open nodes are compared with one node for each of their n-grams before all open pairs are.
@@ -140,8 +140,10 @@ def _half(n: int):
                     for s in ngram_sets(batch.column("text"), n) if len(s)}
             size = [len(s) for s in sets.values()]
             grams = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams.astype(np.int64)),
-                                              "node": pa.array(np.repeat(np.fromiter(sets, np.int64), size))})
+            nodes = np.repeat(np.fromiter(sets, np.int64), size)
+            for a in range(0, len(grams), BATCH):
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(grams[a : a + BATCH].view(np.int64)),
+                                                  "node": pa.array(nodes[a : a + BATCH])})
     return run
 
 
