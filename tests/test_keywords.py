@@ -53,3 +53,19 @@ def test_ten_thousand_rules_leave_the_plan_as_it_is(spark):
 def test_without_rules_or_texts(spark):
     assert evaluated(spark, [(1, "t", "a")], []) == {1: ([], "allow")}
     assert evaluated(spark, [], [("r", None, "a", "block")]) == {}
+
+
+def test_fired_rules_are_told_apart_and_sorted_by_number_not_by_comparing_structs(spark):
+    texts = [(1, "t1", "ab c d"), (2, None, "ab c d"), (3, "t2", "A"), (4, "t1", None)]
+    rules = [(f"r{i}", owner, word, "alert") for i in range(2_000) for owner, word in (("t1", "B"), (None, "b c"), (None, "a"))]
+    out = K.keyword_rules(spark.createDataFrame(texts, TEXTS), spark.createDataFrame(rules, RULES))
+    assert evaluated(spark, texts, rules) == model(texts, rules)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "array_distinct" not in plan and "array_sort" not in plan  # the first is quadratic on structs
+
+
+def test_null_ids_and_actions_come_first(spark):
+    rules = [("b", None, "a", None), (None, None, "a", "redact"), ("b", None, "a", "block"), ("a", "t1", "a", "alert")]
+    out = K.keyword_rules(spark.createDataFrame([(1, "t1", "a")], TEXTS), spark.createDataFrame(rules, RULES)).first()
+    assert [tuple(f) for f in out["fired"]] == [(None, "redact"), ("a", "alert"), ("b", None), ("b", "block")]
+    assert out["keyword_action"] == "block"
