@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textward.operators import limits as L
 from textward.operators import policy as P
+from textward.plans.registry import REGISTRY
 from textward.streaming import streams as X
 
 T0 = datetime(2024, 1, 1)
@@ -112,3 +113,24 @@ def test_late_rows_are_counted_and_set_aside(spark, tmp_path):
     # Row 3 comes before the watermark of its batch is applied; 6 and 7 are dropped.  Closed windows are written once.
     assert {(minute(0), 2), (minute(240), 1), (minute(300), 1)} == rows
     assert spark.read.parquet(f"{out}/data").groupBy("window_start").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def event_table(spark, folder):
+    """Two files, the second of events hours before the last ones of the first."""
+    made = [(i, T0 + timedelta(minutes=7 * i), i % 9, ["error", "view", "other"][i % 3], 300.0 * (i % 2)) for i in range(120)]
+    for rows in (made[60:], made[:60]):
+        add_file(spark, folder / "events.parquet", rows, EVENTS)
+    return made
+
+
+@pytest.mark.parametrize("files", [1, 1000])
+def test_counts_of_all_windows_open_and_late_ones_too(spark, tmp_path, monkeypatch, files):
+    made = event_table(spark, tmp_path)
+    plain = X.file_stream
+    monkeypatch.setattr(X, "file_stream", lambda s, path, schema: plain(s, path, schema, files))
+    counts = REGISTRY["stream_action_counts"][0](spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in counts) == len(made)
+    assert max(r["window_start"] for r in counts) == made[-1][1].strftime("%Y-%m-%d %H:00:00")

@@ -1,8 +1,9 @@
 """The engine over unbounded inputs: Structured Streaming versions of the operators.
 
 Stateless operators (inspection, policies) are the batch functions applied to a
-streaming DataFrame.  Windows, sessions and replays carry a watermark, so their
-state is bounded by the allowed lateness instead of by the length of the stream.
+streaming DataFrame.  Windows, sessions and replays carry a watermark, so in append
+mode their state is bounded by the allowed lateness instead of by the length of the
+stream; counts of all windows, open ones and late rows included, need complete mode.
 Rate limits run the batch operator on every micro-batch, from the states that the
 one before has written; a state that says nothing any more is not written again.
 
@@ -178,13 +179,24 @@ class DroppedRows(StreamingQueryListener):
         pass
 
 
+def whole_writer(out: str) -> Callable[[DataFrame, int], None]:
+    """The whole result so far in place of the one before, as ``complete`` mode gives it: every window, open ones too."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data")
+
+    return write
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append", writer=None, folder: str | None = None) -> str:
     """Process what is available and stop; returns the output folder.
 
     Results and the query's checkpoint go to ``folder``; a query that is started again with the same folder goes on
-    where it stopped.  Without one, a new folder in the shared directory is taken.
+    where it stopped.  Without one, a new folder in the shared directory is taken.  In ``complete`` mode, which drops no
+    late rows and keeps every group as state, ``data`` is the whole result; otherwise batches add to it.
     """
     out = folder or shared_folder(stream.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    if mode == "complete" and writer is None:
+        writer = whole_writer
     sink = stream.writeStream.queryName(name).outputMode(mode) \
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
     sink = sink.format("parquet").option("path", f"{out}/data") if writer is None else sink.foreachBatch(writer(out))
