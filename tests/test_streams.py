@@ -134,3 +134,7 @@ def test_counts_of_all_windows_open_and_late_ones_too(spark, tmp_path, monkeypat
     counts = REGISTRY["stream_action_counts"][0](spark, str(tmp_path)).collect()
     assert sum(r["n"] for r in counts) == len(made)
     assert max(r["window_start"] for r in counts) == made[-1][1].strftime("%Y-%m-%d %H:00:00")
+    risky = [r for r in made if r[4] > 140]
+    windows = REGISTRY["stream_high_risk"][0](spark, str(tmp_path)).collect()
+    assert sum(r["high_risk"] for r in windows) == 6 * len(risky)
+    assert max(r["window_start"] for r in windows) == risky[-1][1].strftime("%Y-%m-%d %H:00:00")
