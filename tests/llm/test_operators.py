@@ -457,3 +457,18 @@ def test_written_shards_hold_every_row_once(spark, tmp_path):
     assert len(written) == len(rows) and sorted(written, key=key) == sorted(placed, key=key)
     assert len({s for i, _, s in written if i is None}) == len({s for i, _, s in written if i == 77}) == 1
     assert all(len(list(folder.glob("*.parquet"))) <= 3 for folder in (tmp_path / "out").glob("shard=*"))
+
+
+def test_rows_of_long_texts_leave_the_jaccard_steps_in_batches_of_bounded_bytes():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 1_000))) for _ in range(600)]
+    rows = pa.RecordBatch.from_pydict({"text": texts + [None, ""]})
+    made = list(jaccard._members(5)(iter([rows])))
+    whole = pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+    assert whole.column("node").to_pylist() == [jaccard._name(s) for s in jaccard.ngram_sets(rows.column("text")) if len(s)]
+    cut = list(jaccard._fragments(iter([whole])))
+    assert sum(b.num_rows for b in cut) == 600 * jaccard.FRAGMENTS
+    ranged = list(jaccard._sets_to_ranges(3)(iter([whole])))
+    assert sorted(m for b in ranged for x in b.column("members") for m in np.frombuffer(x.as_py(), np.uint64)) \
+        == sorted(m for x in whole.column("members") for m in np.frombuffer(x.as_py(), np.uint64))
+    assert max(b.nbytes for b in [*made, *cut, *ranged]) < 2 * jaccard.SLICE < whole.nbytes

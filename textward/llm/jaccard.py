@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ from . import words as W
 from .storage import staged
 
 #: N-grams of a range that are sorted together in one task, and rows of an Arrow batch that go back to Spark.
-RANGE, BATCH = 1_000_000, 65_536
+RANGE, BATCH = 500_000, 65_536
+#: Bytes of texts or members that a task turns into Arrow rows at once.
+SLICE = 2 << 20
 #: Fragments in which the overlap of a pair is counted.
 FRAGMENTS = 8
 #: Times that open nodes are compared with one node for each of their n-grams before all open pairs are.
@@ -74,9 +77,17 @@ def _name(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``SLICE`` bytes of the column: Spark counts rows, and those of long texts are large."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for first, last in W.slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), SLICE):
+            yield batch.slice(first, last - first)
+
+
 def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "text"):
             sets = ngram_sets(batch.column("text"), n)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "row": batch.column("row"), "n": pa.array([len(s) for s in sets], pa.int64()),
@@ -86,7 +97,7 @@ def _signatures(n: int):
 
 def _members(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "text"):
             sets = [s for s in ngram_sets(batch.column("text"), n) if len(s)]
             yield pa.RecordBatch.from_pydict({
                 "node": pa.array([_name(s) for s in sets], pa.int64()),
@@ -135,7 +146,7 @@ _RANGES = "range bigint, nodes binary, sizes binary, counts binary, members bina
 def _half(n: int):
     """``gram, node`` for the n-grams in the lower half of the order, of each different set of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "text"):
             sets = {_name(s): s[: np.searchsorted(s, np.uint64(1 << 63))]
                     for s in ngram_sets(batch.column("text"), n) if len(s)}
             size = [len(s) for s in sets.values()]
@@ -149,7 +160,7 @@ def _half(n: int):
 
 def _sets_to_ranges(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "members"):
             sets = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column("members")]
             yield _to_ranges(batch.column("node").to_numpy(), sets, ranges)
     return run
@@ -163,13 +174,14 @@ def _each_range(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
     def joined() -> _Part:
         columns = zip(*held, strict=True)
         types = (np.int64, np.int32, np.int32, np.uint64)
-        return _Part(*(np.concatenate([np.frombuffer(x, t) for x in c]) for c, t in zip(columns, types, strict=True)))
+        part = _Part(*(np.concatenate([np.frombuffer(x, t) for x in c]) for c, t in zip(columns, types, strict=True)))
+        held.clear()
+        return part
 
     for batch in batches:
         for i, at in enumerate(batch.column("range").to_pylist()):
             if held and at != current:
                 yield joined()
-                held = []
             current = at
             held.append(tuple(batch.column(c)[i].as_py() for c in ("nodes", "sizes", "counts", "members")))
     if held:
@@ -266,7 +278,7 @@ def _prefixes(percent: int):
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(64 - FRAGMENTS.bit_length() + 1))
-    for batch in batches:
+    for batch in _slices(batches, "members"):
         node, fragment, members = [], [], []
         for name, m in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
             for f, part in enumerate(np.split(s := np.frombuffer(m.as_py(), np.uint64), np.searchsorted(s, edges))):
@@ -277,7 +289,7 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches, "left"):
         shared = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), True))
                   for x, y in zip(batch.column("left"), batch.column("right"), strict=True)]
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"),
