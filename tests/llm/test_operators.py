@@ -472,3 +472,29 @@ def test_rows_of_long_texts_leave_the_jaccard_steps_in_batches_of_bounded_bytes(
     assert sorted(m for b in ranged for x in b.column("members") for m in np.frombuffer(x.as_py(), np.uint64)) \
         == sorted(m for x in whole.column("members") for m in np.frombuffer(x.as_py(), np.uint64))
     assert max(b.nbytes for b in [*made, *cut, *ranged]) < 2 * jaccard.SLICE < whole.nbytes
+
+
+def test_rows_between_the_jaccard_steps_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "RANGE", 1_000, raising=False)  # n-grams sorted together by the code before
+    plain, made = type(spark.range(1)).mapInArrow, {}
+
+    def counted(self, step, schema):
+        rows = made.setdefault(schema, [])
+        rows.append(spark.sparkContext.accumulator(0))
+        total = rows[-1]
+
+        def run(batches):
+            for batch in step(batches):
+                total.add(batch.num_rows)
+                yield batch
+        return plain(self, run, schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", counted)
+    counts = []
+    for families in (20, 100):
+        made.clear()
+        rows = [(4 * f + c, " ".join(f"w{f}x{i}" for i in range(60 + c))) for f in range(families) for c in range(4)]
+        got = sorted(tuple(r) for r in jaccard.groups(docs(spark, rows)).collect())
+        assert got == [(4 * f + c, 56 + c, 4 * f) for f in range(families) for c in range(4)]
+        counts.append({schema: sum(a.value for a in rows) for schema, rows in made.items()})
+    assert all(0 < counts[0][schema] and large <= 6 * counts[0][schema] for schema, large in counts[1].items())

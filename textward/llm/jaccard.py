@@ -7,11 +7,12 @@ fragment alone.
 2. In the lower half of the order, the n-grams that no other node holds are counted for each node.  A node with more
    of them than its size allows a partner to miss is done.  What remains is what has copies, whatever lines or passages
    other documents share.
-3. For the remaining nodes the order is cut into ranges of bounded size, and each range gives each n-gram's frequency and one hub, of the nodes that hold it the one
-   whose n-grams are most frequent.  A node's prefix is its rarest n-grams, one more than it may miss.  Two linked nodes
-   share one of their prefixes, at places low enough for the overlap that their sizes need.
-4. Each node is compared with the hub of most of its n-grams.  Overlaps are counted in each fragment, summed for each
-   pair, and linked pairs form groups.
+3. For the remaining nodes there is one row for each n-gram of each node.  They are counted by n-gram, and a node's
+   prefix is its rarest n-grams, one more than it may miss.  Two linked nodes share one of their prefixes, at places low
+   enough for the overlap that their sizes need.
+4. Each n-gram has one hub, of the nodes with it in their prefix the one whose n-grams are most frequent.  Each node is
+   compared with the hub of most of its prefix.  Overlaps are counted in each fragment, summed for each pair, and linked
+   pairs form groups.
 5. Nodes that share a prefix n-gram at such places with a node of another group are compared with the n-gram's most
    central one, and groups are formed again, some times.
 6. Pairs that share a prefix n-gram at such places but are not in one group yet are compared the same way, so no link between
@@ -24,19 +25,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .storage import staged
 
-#: N-grams of a range that are sorted together in one task, and rows of an Arrow batch that go back to Spark.
-RANGE, BATCH = 500_000, 65_536
+#: Rows of an Arrow batch that go back to Spark.
+BATCH = 65_536
 #: Bytes of texts or members that a task turns into Arrow rows at once.
 SLICE = 2 << 20
 #: Fragments in which the overlap of a pair is counted.
@@ -106,15 +106,6 @@ def _members(n: int):
     return run
 
 
-class _Part(NamedTuple):
-    """Members of some nodes that fall into one range."""
-
-    nodes: np.ndarray
-    sizes: np.ndarray
-    counts: np.ndarray
-    members: np.ndarray
-
-
 def _to_ranges(nodes: np.ndarray, sets: list[np.ndarray], ranges: int) -> pa.RecordBatch:
     """One row for each range that holds a member: the nodes there and their members."""
     nodes, first = np.unique(nodes, return_index=True)  # equal sets once
@@ -140,9 +131,6 @@ def _to_ranges(nodes: np.ndarray, sets: list[np.ndarray], ranges: int) -> pa.Rec
         k: pa.array(rows[k], binary) for k in ("nodes", "sizes", "counts", "members")}})
 
 
-_RANGES = "range bigint, nodes binary, sizes binary, counts binary, members binary"
-
-
 def _half(n: int):
     """``gram, node`` for the n-grams in the lower half of the order, of each different set of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +147,7 @@ def _half(n: int):
 
 
 def _sets_to_ranges(ranges: int):
+    """Sets cut into ranges of the order, a row for each range of a batch.  No query uses it: its rows grow faster than its input."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "members"):
             sets = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column("members")]
@@ -166,114 +155,43 @@ def _sets_to_ranges(ranges: int):
     return run
 
 
-def _each_range(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
-    """Whole ranges from rows that are sorted by range."""
-    held: list[tuple] = []
-    current = None
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``gram, node, n`` for each member of each set."""
+    for batch in _slices(batches, "members"):
+        sets = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column("members")]
+        size = np.array([len(s) for s in sets], np.int64)
+        grams = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+        nodes, sizes = np.repeat(batch.column("node").to_numpy(), size), np.repeat(size, size)
+        for a in range(0, len(grams), BATCH):
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams[a : a + BATCH]), "node": pa.array(nodes[a : a + BATCH]),
+                                              "n": pa.array(sizes[a : a + BATCH])})
+
 
-    def joined() -> _Part:
-        columns = zip(*held, strict=True)
-        types = (np.int64, np.int32, np.int32, np.uint64)
-        part = _Part(*(np.concatenate([np.frombuffer(x, t) for x in c]) for c, t in zip(columns, types, strict=True)))
-        held.clear()
-        return part
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``gram, node, n, place, mean``: prefix n-grams that other nodes hold too, with their places from 0, lone n-grams
+    counted, and the mean frequency of the node's n-grams.
 
-    for batch in batches:
-        for i, at in enumerate(batch.column("range").to_pylist()):
-            if held and at != current:
-                yield joined()
-            current = at
-            held.append(tuple(batch.column(c)[i].as_py() for c in ("nodes", "sizes", "counts", "members")))
-    if held:
-        yield joined()
-
-
-def _holders(part: _Part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different nodes and their sizes; then by n-gram: the n-grams, where each one's nodes begin, and the nodes."""
-    nodes, first, at = np.unique(part.nodes, return_index=True, return_inverse=True)
-    own = np.repeat(at, part.counts)
-    order = np.lexsort((own, part.members))
-    gram, own = part.members[order], own[order]
-    if len(gram):
-        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])])
-        gram, own = gram[new], own[new]
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-    return nodes, part.sizes[first], gram, start, own
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each node of a range: its n-grams that other nodes hold too, how many hold them, and their hubs."""
-    for part in _each_range(batches):
-        nodes, sizes, gram, start, own = _holders(part)
-        count = np.diff(np.append(start, len(gram)))
-        frequency = np.repeat(count, count)
-        lone = np.bincount(own[frequency == 1], minlength=len(nodes))
-        mean = np.bincount(own, frequency, len(nodes)) / np.maximum(np.bincount(own, minlength=len(nodes)), 1)
-        by_rank = np.argsort(-mean, kind="stable")
-        rank = np.empty_like(by_rank)
-        rank[by_rank] = np.arange(len(nodes))
-        hub = np.repeat(by_rank[np.minimum.reduceat(rank[own], start)], count) if len(start) else own
-        keep = np.flatnonzero(frequency > 1)
-        keep = keep[np.argsort(own[keep], kind="stable")]
-        bound = np.searchsorted(own[keep], np.arange(len(nodes) + 1))
-        cut = [keep[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
-        yield pa.RecordBatch.from_pydict({
-            "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64()), "lone": pa.array(lone, pa.int64()),
-            "grams": pa.array([gram[c].tobytes() for c in cut], pa.binary()),
-            "frequencies": pa.array([frequency[c].astype(np.int32).tobytes() for c in cut], pa.binary()),
-            "hubs": pa.array([nodes[hub[c]].astype(np.int64).tobytes() for c in cut], pa.binary())})
-
-
-def _prefixes(percent: int):
-    """Per node, from rows sorted by node: prefix n-grams with their places from 0, and the hub of most of its n-grams."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        current = None
-
-        def finish() -> tuple[list, ...] | None:
-            n, lone = held[0][0], sum(h[1] for h in held)
-            left = (100 - percent) * n // 100 + 1 - lone
-            grams = np.concatenate([np.frombuffer(h[2], np.uint64) for h in held])
-            if left <= 0 or not len(grams):
-                return None
-            frequency = np.concatenate([np.frombuffer(h[3], np.int32) for h in held])
-            hubs, votes = np.unique(np.concatenate([np.frombuffer(h[4], np.int64) for h in held]), return_counts=True)
-            best = int(hubs[np.argmax(votes)])
-            if best == current and len(hubs) > 1:  # a hub itself goes with the best of the others
-                other = hubs != current
-                best = int(hubs[other][np.argmax(votes[other])])
-            prefix = grams[np.lexsort((grams, frequency))[:left]]
-            size = len(prefix)
-            return (prefix.view(np.int64).tolist(), [current] * size, [n] * size, list(range(lone, lone + size)),
-                    [best] * size)
-
-        out: list[list] = [[], [], [], [], []]
-
-        def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pydict({name: pa.array(c, pa.int64()) for name, c in zip(
-                ("gram", "node", "n", "place", "hub"), out, strict=True)})
-            out[:] = [[], [], [], [], []]
-            return batch
-
-        def add() -> None:
-            found = finish()
-            for c, more in zip(out, found or (), strict=False):
-                c.extend(more)
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("node", "n", "lone", "grams", "frequencies", "hubs")]
-            for node, *rest in zip(*columns, strict=True):
-                if held and node != current:
-                    add()
-                    held.clear()
-                current = node
-                held.append(tuple(rest))
-            if len(out[0]) > 50_000:
-                yield rows()
-        if held:
-            add()
-        yield rows()
-    return run
+    An n-gram that many nodes hold is counted in every task before it is shuffled; the counts are staged, so that the
+    join reads both its sides from shuffles, where Spark splits the rows of a frequent n-gram.
+    """
+    held = sets.select("node", "members").mapInArrow(_rows, "gram bigint, node bigint, n bigint")
+    shared = staged(held.groupBy("gram").agg(F.count("*").alias("frequency")).filter(F.col("frequency") > 1))
+    own = Window.partitionBy("node")
+    n = F.col("n")
+    return held.join(shared, "gram") \
+        .withColumn("rank", F.row_number().over(own.orderBy("frequency", "gram"))) \
+        .withColumn("lone", n - F.count("*").over(own)) \
+        .withColumn("mean", (F.sum("frequency").over(own) + F.col("lone")) / n) \
+        .select("gram", "node", "n", (F.col("lone") + F.col("rank") - 1).alias("place"), "mean") \
+        .filter(F.col("place") <= F.floor((100 - percent) * n / 100))
+
+
+def _stars(prefixes: DataFrame) -> DataFrame:
+    """``b, n_b, a``: every node and the hub of most of its prefix, other than itself."""
+    hubs = staged(prefixes.groupBy("gram").agg(F.max(F.struct("mean", "node")).getField("node").alias("a")))
+    votes = prefixes.join(hubs, "gram").filter(F.col("a") != F.col("node")).groupBy("node", "n", "a").count()
+    return votes.groupBy(F.col("node").alias("b"), F.col("n").alias("n_b")) \
+        .agg(F.max_by("a", F.struct("count", "a")).alias("a"))
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,9 +312,6 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     nodes = signatures.filter(F.col("node").isNotNull()).groupBy("node") \
         .agg(F.min("row").alias("row"), F.max("n").alias("n"))
 
-    def by_range(ranged: DataFrame) -> DataFrame:
-        return ranged.repartition("range").sortWithinPartitions("range")
-
     # An n-gram that many texts hold is combined in every task before it is shuffled.
     lone = rows.select("text").mapInArrow(_half(n), "gram bigint, node bigint").groupBy("gram") \
         .agg(F.min("node").alias("node"), F.max("node").alias("last")).filter(F.col("node") == F.col("last")) \
@@ -407,17 +322,12 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     members = rows.select("text", "row").join(left.select("row").distinct(), "row", "left_semi").select("text") \
         .mapInArrow(_members(n), "node bigint, n bigint, members binary")
     sets = staged(members.dropDuplicates(["node"]))
-    kept = left.agg(F.sum("n")).first()[0] or 0
-    frequent = by_range(sets.select("node", "members").mapInArrow(_sets_to_ranges(kept // RANGE + 1), _RANGES)) \
-        .mapInArrow(_frequencies, "node bigint, n bigint, lone bigint, grams binary, frequencies binary, hubs binary")
-    prefixes = staged(frequent.repartition("node").sortWithinPartitions("node")
-                      .mapInArrow(_prefixes(percent), "gram bigint, node bigint, n bigint, place bigint, hub bigint"))
+    prefixes = staged(_prefixes(sets, percent))
     size = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    stars = prefixes.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct() \
-        .join(size, "a")
+    stars = _stars(prefixes).join(size, "a")
     first = staged(linked(staged(_pairs(stars.select("a", "b", "n_a", "n_b"), percent)), sets, percent))
     found, groups = first, components(first)
-    rows_left = prefixes.drop("hub")
+    rows_left = prefixes.drop("mean")
     for _ in range(ROUNDS):
         rows_left = _open(rows_left, groups, percent)
         central = staged(rows_left.groupBy("gram").agg(F.min(F.struct("place", "node", "n", "label")).alias("hub")))
